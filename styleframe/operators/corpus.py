@@ -32,6 +32,23 @@ def drop_removed(df: DataFrame, text: str = "text", author: str | None = "author
     return df.filter(cond)
 
 
+def keep_languages(df: DataFrame, codes, text: str = "text", lang: str = "lang",
+                   predictor=None) -> DataFrame:
+    """Keep rows whose language is wanted.
+
+    With ``predictor=None`` the language column is trusted.  Otherwise
+    ``predictor`` is an iterator-of-Series ``pandas_udf`` (model loaded once
+    per worker) applied to the newline-flattened text; cheap filters should be
+    applied before this call so the model only sees survivors.
+    """
+    if predictor is None:
+        return df.filter(F.col(lang).isin(*codes))
+    from styleframe.functions.text import flatten_newlines
+    pred = predictor(flatten_newlines(F.col(text)))
+    return df.withColumn("_pred_lang", pred).filter(F.col("_pred_lang").isin(*codes)) \
+        .drop("_pred_lang")
+
+
 def kept_sentences(text) -> Column:
     """array<string> of cleaned sentences (split first, then clean each)."""
     return F.transform(split_sentences(text), lambda s: clean_text(s))
@@ -50,16 +67,17 @@ def require_sentences(df: DataFrame, n: int = 2, sentences: str = "sentences") -
 
 
 def require_comments(df: DataFrame, n: int = 2, user: Sequence[str] = ("lang", "source"),
-                     comment: str = "doc_id") -> DataFrame:
-    """Keep users with at least ``n`` distinct comments (HAVING + left-semi join).
+                     comment: str = "doc_id", one_row_per_comment: bool = True) -> DataFrame:
+    """Keep users with at least ``n`` comments (HAVING + left-semi join).
 
-    The count is a partial/final hash aggregate, so a hot user costs one
-    partial row per map task; the semi join goes broadcast at runtime when the
-    qualifying-user table is small (AQE), sort-merge with skew split otherwise.
+    On a comment-level frame (one row per comment) the count is a plain
+    partial/final hash aggregate, so a hot user costs one partial row per map
+    task.  The semi join goes broadcast at runtime when the qualifying-user
+    table is small (AQE), sort-merge with skew split otherwise.
     """
     user = _cols(user)
-    ok = (df.select(*user, comment).groupBy(*user)
-          .agg(F.count_distinct(comment).alias("_n"))
+    cnt = F.count(F.lit(1)) if one_row_per_comment else F.count_distinct(comment)
+    ok = (df.select(*user, comment).groupBy(*user).agg(cnt.alias("_n"))
           .filter(F.col("_n") >= n).select(*user))
     return df.join(ok, on=user, how="left_semi")
 
@@ -72,14 +90,22 @@ def explode_sentences(df: DataFrame, sentences: str = "sentences",
     return out.withColumn("words", words(F.col(text)))
 
 
+def to_comments(df: DataFrame, text: str = "text", user: Sequence[str] = ("lang", "source"),
+                comment: str = "doc_id", min_words: int = 5, min_sentences: int = 2,
+                min_comments: int = 2) -> DataFrame:
+    """One row per surviving comment with its array of kept sentences:
+    split -> clean -> word filter -> per-comment HAVING -> per-user HAVING."""
+    c = with_sentences(df.select(*_cols(user), comment, text), text, min_words)
+    c = require_sentences(c.drop(text), min_sentences)
+    return require_comments(c, min_comments, user, comment)
+
+
 def to_sentences(df: DataFrame, text: str = "text", user: Sequence[str] = ("lang", "source"),
                  comment: str = "doc_id", min_words: int = 5, min_sentences: int = 2,
                  min_comments: int = 2) -> DataFrame:
-    """split -> clean -> word filter -> per-comment HAVING -> per-user HAVING -> explode."""
-    c = with_sentences(df.select(*_cols(user), comment, text), text, min_words)
-    c = require_sentences(c.drop(text), min_sentences)
-    c = require_comments(c, min_comments, user, comment)
-    return explode_sentences(c)
+    """``to_comments`` exploded to one row per sentence (sent_idx, sentence, words)."""
+    return explode_sentences(to_comments(df, text, user, comment, min_words,
+                                         min_sentences, min_comments))
 
 
 SPLITS = ("test", "dev", "train", "pretrain")
@@ -97,8 +123,7 @@ def split_users(users: DataFrame, dialect: str = "lang", user: str = "source",
     partial top-k before the shuffle: a dialect holding a third of all users
     still ships at most k rows per map task.  Everyone else is pretrain.
     """
-    u = users.select(dialect, user).distinct() \
-        .withColumn("_key", keyed.order_key(seed, dialect, user))
+    u = users.select(dialect, user).withColumn("_key", keyed.order_key(seed, dialect, user))
     k = test + dev + train
     w = Window.partitionBy(dialect).orderBy("_key", user)
     ranked = (u.withColumn("_rank", F.row_number().over(w))
@@ -112,16 +137,23 @@ def split_users(users: DataFrame, dialect: str = "lang", user: str = "source",
             .select(dialect, user, F.explode(splits).alias("split")))
 
 
-def split_counts(sentences: DataFrame, splits: DataFrame, dialect: str = "lang",
-                 user: str = "source", comment: str = "doc_id") -> DataFrame:
-    """users / comments / sentences per (dialect, split).
+def per_user_counts(comments: DataFrame, dialect: str = "lang", user: str = "source",
+                    sentences: str = "sentences") -> DataFrame:
+    """comments and sentences per user from a comment-level frame (partial agg)."""
+    return (comments.groupBy(dialect, user)
+            .agg(F.count(F.lit(1)).alias("n_comments"),
+                 F.sum(F.size(sentences)).cast("bigint").alias("n_sentences")))
+
+
+def split_counts(comments: DataFrame, dialect: str = "lang", user: str = "source",
+                 sentences: str = "sentences", **split_args) -> DataFrame:
+    """users / comments / sentences per (dialect, split) from comment-level rows.
 
-    Sentences are first reduced to one row per (dialect, user) — a partial
-    aggregate — so the join with the split table touches users, not sentences.
+    The comment frame is reduced once to one row per user; the user split and
+    the final join work on that small table (the same exchange is reused).
     """
-    per_user = (sentences.groupBy(dialect, user)
-                .agg(F.count_distinct(comment).alias("n_comments"),
-                     F.count(F.lit(1)).alias("n_sentences")))
+    per_user = per_user_counts(comments, dialect, user, sentences)
+    splits = split_users(per_user.select(dialect, user), dialect, user, **split_args)
     return (per_user.join(splits, [dialect, user])
             .groupBy(dialect, "split")
             .agg(F.count(F.lit(1)).alias("n_users"),

@@ -14,16 +14,18 @@ from styleframe.sources.tables import table
 SPLIT_ARGS = dict(test=3, dev=3, train=10, seed=42)
 
 
-def sentences(spark, sf):
+def comments(spark, sf):
     docs = table(spark, sf, "documents")
     docs = docs.filter(~F.col("text").isin("[deleted]", "[removed]"))
-    return corpus.to_sentences(docs)
+    return corpus.to_comments(docs)
+
+
+def sentences(spark, sf):
+    return corpus.explode_sentences(comments(spark, sf))
 
 
 def user_split_counts(spark, sf):
-    s = sentences(spark, sf)
-    users = s.select("lang", "source").distinct()
-    return corpus.split_counts(s, corpus.split_users(users, **SPLIT_ARGS))
+    return corpus.split_counts(comments(spark, sf), **SPLIT_ARGS)
 
 
 register(
