@@ -68,3 +68,21 @@ splits AS (
                                    ELSE ['pretrain'] END) AS split
   FROM ranked
 )"""
+
+
+# --- vectors (sequential left folds, the same order Spark's aggregate uses) --
+def vdot(a: str, b: str) -> str:
+    return (f"list_reduce(list_transform(range(1, len({a}) + 1), "
+            f"lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)), lambda x, y: x + y, 0.0)")
+
+
+def vnorm(a: str) -> str:
+    return f"sqrt({vdot(a, a)})"
+
+
+def vunit(a: str) -> str:
+    return (f"list_transform({a}, lambda x: CAST(x AS DOUBLE) / greatest({vnorm(a)}, 1e-12))")
+
+
+def vsum(a: str) -> str:
+    return f"list_reduce(list_transform({a}, lambda x: CAST(x AS DOUBLE)), lambda x, y: x + y, 0.0)"
