@@ -54,10 +54,11 @@ def argmax(p) -> Column:
 
 
 def softmax(z) -> Column:
+    """exp(x - max) / sum; pass a column *name* (or a cheap column) — the input
+    is referenced more than once."""
     m = F.array_max(_c(z))
-    e = F.transform(_c(z), lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    s = F.aggregate(_c(z), F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
+    return F.transform(_c(z), lambda x: F.exp(x - m) / s)
 
 
 def sigmoid(z) -> Column:
