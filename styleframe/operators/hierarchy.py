@@ -67,6 +67,20 @@ def prefix_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str =
             .drop("_pid", "_local", "_off"))
 
 
+def line_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str],
+                 out: str = "line_no") -> DataFrame:
+    """0-based position of each row inside its group in ``order`` (keys unique).
+
+    Global exclusive offsets (distributed prefix sum) minus the group's first
+    offset: a group holding a third of the rows is still spread over many
+    tasks, unlike ``row_number() over (partition by group)``."""
+    keys = list(group) + list(order)
+    g = prefix_offsets(df.withColumn("_one", F.lit(1)), keys, "_one", out="_goff").drop("_one")
+    first = g.groupBy(*group).agg(F.min("_goff").alias("_first"))
+    return g.join(first, list(group)).withColumn(out, (F.col("_goff") - F.col("_first")).cast("bigint")) \
+        .drop("_goff", "_first")
+
+
 def with_spans(sent: DataFrame, dialect: str = "lang", user: str = "source",
                comment: str = "doc_id", pos: str = "sent_idx") -> DataFrame:
     """Add idx and [start, end) of the comment, user and dialect of each sentence.

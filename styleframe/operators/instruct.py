@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from styleframe.functions import keyed
-from styleframe.functions.text import ARABIC_RANGES, is_script, strip_wrapping_quotes
+from styleframe.functions.text import ARABIC_RANGES, WS, is_script, strip_wrapping_quotes
 
 # --- fixed values: dialect labels -> country codes (dataset vocabularies) ---
 DIALECT_TO_COUNTRY = {
@@ -185,14 +185,18 @@ def bitext_prompts(df: DataFrame, seed: int = 42, key: Sequence[str] = ("text",)
                         c for c in key if c not in ("text", "dialect", "source", "type")])
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+
+
 def guard_answer(df: DataFrame, instruction: str = "instruction", answer: str = "answer",
                  fallback: str = "text") -> DataFrame:
     """Generated instruction < 5 chars -> row dropped; wrapping quotes removed;
     answer < 20 chars -> the corpus text."""
-    ins = F.trim(F.col(instruction))
+    ins = _strip(F.col(instruction))
     ok = df.filter(ins.isNotNull() & (F.char_length(ins) >= 5))
-    ans = F.trim(F.col(answer))
-    return (ok.withColumn(instruction, strip_wrapping_quotes(F.trim(F.col(instruction))))
+    ans = _strip(F.col(answer))
+    return (ok.withColumn(instruction, strip_wrapping_quotes(_strip(F.col(instruction))))
             .withColumn(answer, F.when(ans.isNull() | (F.char_length(ans) < 20), F.col(fallback))
                         .otherwise(ans)))
 
