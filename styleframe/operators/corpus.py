@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from styleframe.functions import keyed
 from styleframe.functions.text import (REMOVED_AUTHORS, REMOVED_BODIES, clean_text,
-                                       split_sentences, words)
+                                       clean_word_count, clean_words, split_sentences)
 
 
 def _cols(c) -> list[str]:
@@ -58,7 +58,7 @@ def with_sentences(df: DataFrame, text: str = "text", min_words: int = 5,
                    out: str = "sentences") -> DataFrame:
     """Add the array of cleaned sentences with at least ``min_words`` words."""
     return df.withColumn(out, F.filter(kept_sentences(F.col(text)),
-                                       lambda s: F.size(words(s)) >= min_words))
+                                       lambda s: clean_word_count(s) >= min_words))
 
 
 def require_sentences(df: DataFrame, n: int = 2, sentences: str = "sentences") -> DataFrame:
@@ -87,16 +87,27 @@ def explode_sentences(df: DataFrame, sentences: str = "sentences",
     """One row per kept sentence, with its position and its word array."""
     out = df.select(*[c for c in df.columns if c != sentences],
                     F.posexplode(sentences).alias(idx, text))
-    return out.withColumn("words", words(F.col(text)))
+    return out.withColumn("words", clean_words(F.col(text)))
 
 
 def to_comments(df: DataFrame, text: str = "text", user: Sequence[str] = ("lang", "source"),
                 comment: str = "doc_id", min_words: int = 5, min_sentences: int = 2,
-                min_comments: int = 2) -> DataFrame:
+                min_comments: int | None = 2, materialize: bool = False) -> DataFrame:
     """One row per surviving comment with its array of kept sentences:
-    split -> clean -> word filter -> per-comment HAVING -> per-user HAVING."""
+    split -> clean -> word filter -> per-comment HAVING -> per-user HAVING.
+
+    The per-user HAVING reads the comment frame twice (count, then semi
+    join).  ``materialize`` checkpoints the cleaned comment frame first (a
+    reliable write to the shared folder), so the regex work runs once instead
+    of once per branch.  ``min_comments=None`` skips the per-user HAVING (for
+    callers that apply it on their own per-user aggregate)."""
     c = with_sentences(df.select(*_cols(user), comment, text), text, min_words)
     c = require_sentences(c.drop(text), min_sentences)
+    if min_comments is None:
+        return c
+    if materialize:
+        from styleframe.session import checkpoint
+        c = checkpoint(c)
     return require_comments(c, min_comments, user, comment)
 
 
@@ -146,13 +157,18 @@ def per_user_counts(comments: DataFrame, dialect: str = "lang", user: str = "sou
 
 
 def split_counts(comments: DataFrame, dialect: str = "lang", user: str = "source",
-                 sentences: str = "sentences", **split_args) -> DataFrame:
+                 sentences: str = "sentences", min_comments: int | None = None,
+                 **split_args) -> DataFrame:
     """users / comments / sentences per (dialect, split) from comment-level rows.
 
     The comment frame is reduced once to one row per user; the user split and
     the final join work on that small table (the same exchange is reused).
+    With ``min_comments`` the per-user HAVING is applied here, on the per-user
+    aggregate, so the comment frame (and its regex work) is read once.
     """
     per_user = per_user_counts(comments, dialect, user, sentences)
+    if min_comments is not None:
+        per_user = per_user.filter(F.col("n_comments") >= min_comments)
     splits = split_users(per_user.select(dialect, user), dialect, user, **split_args)
     return (per_user.join(splits, [dialect, user])
             .groupBy(dialect, "split")

@@ -88,7 +88,7 @@ def with_spans(sent: DataFrame, dialect: str = "lang", user: str = "source",
     Order: dialect, user, comment, sentence position (positions must be dense
     0..n-1 inside a comment, as ``explode_sentences`` produces)."""
     keys = [dialect, user, comment]
-    per_comment = sent.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    per_comment = sent.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # partial agg
     cs = prefix_offsets(per_comment, keys, "_n", out="comment_start") \
         .withColumn("comment_end", F.col("comment_start") + F.col("_n"))
     users = cs.groupBy(dialect, user).agg(F.min("comment_start").alias("user_start"),

@@ -14,10 +14,10 @@ from styleframe.sources.tables import table
 SPLIT_ARGS = dict(test=3, dev=3, train=10, seed=42)
 
 
-def comments(spark, sf):
+def comments(spark, sf, min_comments: int | None = 2, materialize: bool = True):
     docs = table(spark, sf, "documents")
     docs = docs.filter(~F.col("text").isin("[deleted]", "[removed]"))
-    return corpus.to_comments(docs)
+    return corpus.to_comments(docs, min_comments=min_comments, materialize=materialize)
 
 
 def sentences(spark, sf):
@@ -25,7 +25,9 @@ def sentences(spark, sf):
 
 
 def user_split_counts(spark, sf):
-    return corpus.split_counts(comments(spark, sf), **SPLIT_ARGS)
+    # per-user HAVING folded into the per-user aggregate: one pass over the text
+    return corpus.split_counts(comments(spark, sf, min_comments=None), min_comments=2,
+                               **SPLIT_ARGS)
 
 
 register(
