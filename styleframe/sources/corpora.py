@@ -101,7 +101,7 @@ def load_city_files(spark: SparkSession, path: str, source: str = "madar",
     keys = F.array(*[F.lit(k) for k in DIALECT_TO_COUNTRY])
     in_map = F.filter(parts, lambda p: F.array_contains(keys, p))
     others = F.filter(parts, lambda p: (p != "") & ~p.isin(*skip_parts))
-    city = F.coalesce(F.element_at(in_map, 1), F.element_at(others, -1))
+    city = F.coalesce(F.try_element_at(in_map, F.lit(1)), F.try_element_at(others, F.lit(-1)))
     lines = F.split(F.regexp_replace("value", "(\r\n|\n|\r)$", ""), "\r\n|\n|\r", -1)
     f = raw.select(city.alias("city"), F.col("_metadata.file_path").alias("_fp"),
                    F.posexplode(lines).alias("line_no", "_l"))
