@@ -80,8 +80,9 @@ def pending(df: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def attach(df: DataFrame, feats: DataFrame, key: Sequence[str], feature: str = "feature",
            width: int | None = None) -> DataFrame:
-    """Join computed features back by key (never by position); missing -> zeros."""
-    out = df.join(feats.select(*key, feature), on=list(key), how="left")
+    """Join computed features (and any other columns of ``feats``) back by key
+    (never by position); a missing feature vector -> zeros."""
+    out = df.join(feats, on=list(key), how="left")
     if width is not None:
         out = out.withColumn(feature, F.coalesce(
             F.col(feature), F.array(*[F.lit(0.0) for _ in range(width)])))

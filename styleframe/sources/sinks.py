@@ -82,3 +82,37 @@ def write_vectors(df: DataFrame, path: str) -> None:
 def write_report(df: DataFrame, path: str) -> None:
     """Small result tables (metrics, history, run config, label map) as JSON."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_zst_json_lines(df: DataFrame, path: str, level: int = 3, long_window: bool = True) -> DataFrame:
+    """Each task compresses its partition into one ``part-<n>.zst`` file of
+    JSON lines (written under a temporary name, then renamed, so a retried task
+    replaces its own file).  Returns (file, rows) per task."""
+    import os
+
+    cols = df.columns
+
+    def run(it):
+        import json as _json
+
+        import pandas as pd
+        import zstandard
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        os.makedirs(path, exist_ok=True)
+        final = f"{path}/part-{pid:05d}.zst"
+        tmp = f"{final}.tmp-{TaskContext.get().attemptNumber()}"
+        params = zstandard.ZstdCompressionParameters.from_level(
+            level, window_log=27 if long_window else 0)
+        n = 0
+        with open(tmp, "wb") as fh:
+            with zstandard.ZstdCompressor(compression_params=params).stream_writer(fh) as w:
+                for pdf in it:
+                    for rec in pdf[cols].to_dict("records"):
+                        w.write((_json.dumps(rec, ensure_ascii=False) + "\n").encode())
+                        n += 1
+        os.replace(tmp, final)
+        yield pd.DataFrame({"file": [final], "rows": [n]})
+
+    return df.mapInPandas(run, "file string, rows long")
