@@ -113,6 +113,9 @@ def graded_groups(spans: DataFrame, seed: int = 42, mini: bool = False) -> DataF
     chain = CHAIN_4 if mini else CHAIN_16
     grades = GRADES_4 if mini else GRADES_16
     span_cols = list(SPAN_COLS)
+    # the span table is read once per join of the chain: pin it (7 longs a row)
+    from styleframe.session import checkpoint
+    spans = checkpoint(spans.select("idx", *span_cols))
     look = spans.select(C("idx").alias("_new"), *span_cols)
     state = (spans.select(C("idx").alias("anchor"), "idx", *span_cols)
              .crossJoin(F.broadcast(_total(spans)))  # one-row scalar

@@ -25,7 +25,7 @@ def train_docs(spark, sf):
 def tfidf_weights(spark, sf):
     docs = train_docs(spark, sf)
     tf = lexical.char_ngrams(docs)
-    vocab = lexical.fit_tfidf(tf, max_features=MAX_FEATURES)
+    vocab = lexical.fit_tfidf(tf, max_features=MAX_FEATURES, docs=docs.select("doc_id"))
     return lexical.tfidf(tf, vocab), vocab
 
 
