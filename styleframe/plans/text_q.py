@@ -136,7 +136,7 @@ SELECT event_id,
        CASE WHEN event_type = 'click' THEN 1.0
             WHEN event_type = 'purchase' THEN CAST(json_extract(props, '$.k') AS DOUBLE)
             ELSE 0.0 END AS f0,
-       0.0 AS f1,
+       CAST(0.0 AS DOUBLE) AS f1,
        CASE WHEN event_type = 'click' THEN 1.0
             WHEN event_type = 'purchase' THEN CAST(json_extract(props, '$.k') AS DOUBLE)
             ELSE 0.0 END AS f2
