@@ -217,3 +217,16 @@ def tsv_csv_loaders(spark, sf):
     a = corpora.load_sniffed_tsv(spark, p_tsv)
     b = corpora.load_parallel_csv(spark, p_csv)
     return a.unionByName(b).groupBy("source", "dialect").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- O-39 (model form) ----------------------------------------------------------------------
+@register("language_model", ops=("O-39",))
+def language_model(spark, sf):
+    """Train the char n-gram language model on documents with a known language
+    and apply the predicate to all of them (rows kept per predicted language)."""
+    from styleframe.operators import language
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.fit_language_model(checkpoint(d))
+    kept = language.keep_predicted(corpus.drop_removed(d, "text", None, 10), model, ("en", "fr", "es"))
+    p = language.predict_language(kept, model)
+    return p.groupBy("lang", "pred_lang").agg(F.count(F.lit(1)).alias("n"))
