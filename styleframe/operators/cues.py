@@ -9,6 +9,7 @@ Arrow-batched ``mapInPandas`` with the key carried in the row.
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Sequence
 
@@ -37,8 +38,24 @@ SURFACE_CUES: tuple[tuple[str, str], ...] = (
 # ---------------------------------------------------------------------------
 
 
+_LITERAL = re.compile(r"^(?:\\[^A-Za-z0-9]|[^\\.^$*+?{}\[\]|()])+$")
+
+
+def _as_literal(rx: str) -> str | None:
+    """The plain string a pattern matches, when it has no regex operators."""
+    if not _LITERAL.match(rx):
+        return None
+    return re.sub(r"\\(.)", r"\1", rx)
+
+
 def cue_columns(text: Column, cues: Sequence[tuple[str, str]] = SURFACE_CUES) -> list[Column]:
-    return [F.when(text.rlike(rx), F.lit(1.0)).otherwise(F.lit(0.0)) for _, rx in cues]
+    """One 0/1 column per cue; literal cues use a substring test, the rest rlike."""
+    out = []
+    for _, rx in cues:
+        lit = _as_literal(rx)
+        hit = text.contains(lit) if lit is not None else text.rlike(rx)
+        out.append(F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return out
 
 
 def surface_cues(df: DataFrame, text: str = "sentence",

@@ -169,7 +169,8 @@ FROM enc GROUP BY doc_id, sent_idx
 def token_ids(spark, sf):
     s = sentences(spark, sf)
     vocab = tokens.build_vocab(s, size=VOCAB_SIZE)
-    e = tokens.encode(s.select("doc_id", "sent_idx", "words"), vocab, max_length=MAX_LEN)
+    e = tokens.encode(s.select("doc_id", "sent_idx", "words"), vocab, ["doc_id", "sent_idx"],
+                      max_length=MAX_LEN, vocab_size_bound=VOCAB_SIZE)
     return e.select("doc_id", "sent_idx", F.array_join("input_ids", ",").alias("ids"),
                     F.size("input_ids").cast("bigint").alias("n_ids"))
 
