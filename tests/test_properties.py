@@ -81,3 +81,39 @@ def test_prefix_offsets_match_row_number(spark):
     for row in r:
         assert row.start == acc
         acc += row.w
+
+
+def test_centred_vectors_unit_norm_and_zero_mean(spark):
+    from styleframe.functions import vectors as V
+    from styleframe.operators import vectors
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    mu = vectors.centroid(e, "embedding")
+    c = vectors.center_normalise(e, mu, "embedding")
+    norms = [r[0] for r in c.select(V.norm("centred")).collect()]
+    assert all(abs(n - 1) < 1e-9 for n in norms)
+    # the mean of the centred (pre-normalisation) vectors is ~0
+    d = e.crossJoin(mu.select(F.col("mean").alias("_mu"))).select(V.sub(V.as_double("embedding"), "_mu").alias("x"))
+    m = vectors.centroid(d, "x").first()["mean"]
+    assert max(abs(x) for x in m) < 1e-9
+
+
+def test_ndcg_bounds_and_perfect_order(spark):
+    from styleframe.operators import ranking
+    rows = [(q, i, float(s), g) for q, perm in enumerate([[3, 2, 1, 0], [0, 1, 2, 3], [1, 3, 0, 2]])
+            for i, (s, g) in enumerate(zip(perm, [3, 2, 1, 0]))]
+    df = spark.createDataFrame(rows, "q int, item int, score double, grade int")
+    got = {r.q: r.ndcg for r in ranking.ndcg(df, ["q"]).collect()}
+    assert abs(got[0] - 1.0) < 1e-12                 # scores in grade order
+    assert all(0.0 <= v <= 1.0 + 1e-12 for v in got.values())
+    ties = spark.createDataFrame([(0, i, 1.0, g) for i, g in enumerate([3, 2, 1, 0])],
+                                 "q int, item int, score double, grade int")
+    t = ranking.ndcg(ties, ["q"]).first()["ndcg"]      # all tied: average gain, order-free
+    assert 0.0 < t < 1.0
+
+
+def test_jaccard_symmetric_before_topk(spark):
+    from styleframe.operators import ranking
+    from styleframe.plans.vector_q import group_feats
+    w = ranking.jaccard_topk(group_feats(spark, SF), "group_id", "pos", "feat", k=0)
+    d = {(r.group_id, r.i, r.j): r.weight for r in w.collect()}
+    assert all(abs(v - d[(g, j, i)]) < 1e-12 for (g, i, j), v in d.items())
