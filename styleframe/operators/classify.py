@@ -22,6 +22,20 @@ def _cols(c) -> list[str]:
     return [] if c is None else ([c] if isinstance(c, str) else list(c))
 
 
+MAX_BROADCAST_CLASSES = 100_000
+
+
+def check_label_space(per_class: DataFrame, limit: int = MAX_BROADCAST_CLASSES) -> int:
+    """Size check before a per-class table is attached to every row as one
+    broadcast row: counts the classes (one small aggregate) and refuses
+    beyond ``limit`` instead of shipping an unbounded row."""
+    k = per_class.count()
+    if k > limit:
+        raise ValueError(f"{k} classes exceed the broadcast bound {limit}; score by joining "
+                         "rows to the class table instead")
+    return k
+
+
 def label_map(df: DataFrame, tags: str = "tags", multi: bool = False) -> DataFrame:
     """Sorted distinct labels (first tag, or every tag when ``multi``) -> dense idx.
 
@@ -43,6 +57,7 @@ def encode_labels(df: DataFrame, labels: DataFrame, tags: str = "tags", multi: b
              .crossJoin(F.broadcast(k)))
         y = F.when(C("_t") == UNK_LABEL, C("_k")).otherwise(F.coalesce(C("_i"), C("_k")))
         return j.withColumn(out, y).drop("_t", "_i", "_k")
+    check_label_space(labels)
     classes = labels.agg(F.array_sort(F.collect_list(F.struct("idx", "label"))).alias("_cl"))
     j = df.crossJoin(F.broadcast(classes))  # one row, one entry per class
     y = F.transform(C("_cl"), lambda c: F.when(F.array_contains(C(tags), c["label"]), F.lit(1.0))

@@ -24,8 +24,9 @@ def centroid_probs(spark, sf, temp: float = 10.0, kind: str = "cos", known: int
     is inlined twice."""
     e = table(spark, sf, "embeddings").withColumn("v", V.as_double("embedding"))
     src = e if known is None else e.filter(C("label") < known)
-    cents = (vectors.centroid(src, "v", by="label").withColumn("norm", V.norm("mean"))
-             .agg(F.array_sort(F.collect_list(F.struct("label", "mean", "norm"))).alias("_cl")))
+    per_class = vectors.centroid(src, "v", by="label").withColumn("norm", V.norm("mean"))
+    classify.check_label_space(per_class)
+    cents = per_class.agg(F.array_sort(F.collect_list(F.struct("label", "mean", "norm"))).alias("_cl"))
     x = e.crossJoin(F.broadcast(cents)).withColumn("_nv", V.norm("v"))
     if kind == "cos":
         z = F.transform("_cl", lambda c: F.lit(temp) * V.dot(C("v"), c["mean"])
