@@ -9,8 +9,20 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Small-input guard: a scan with fewer partitions than the session's
+    parallelism (e.g. one Parquet row group read by one task) is spread
+    round-robin so CPU-heavy text work uses every core.  Large inputs already
+    have more splits than cores and are left alone (no shuffle)."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
     """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise KeyError(name)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_small else df
