@@ -16,10 +16,21 @@ from pyspark.sql import SparkSession
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
+def _default_driver_memory() -> str:
+    """About 60% of physical memory, capped at 16 GB (local mode: the driver
+    JVM hosts the executors too)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def get_session(master: str | None = None, app: str = "styleframe",
                 shuffle_partitions: int | None = None,
-                driver_memory: str = "16g") -> SparkSession:
+                driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every job here assumes."""
+    driver_memory = driver_memory or _default_driver_memory()
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
