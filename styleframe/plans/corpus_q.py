@@ -16,7 +16,8 @@ SPLIT_ARGS = dict(test=3, dev=3, train=10, seed=42)
 
 def comments(spark, sf, min_comments: int | None = 2, materialize: bool = True):
     docs = table(spark, sf, "documents")
-    docs = docs.filter(~F.col("text").isin("[deleted]", "[removed]"))
+    # removed bodies and the deleted-user marker are skipped before any work
+    docs = docs.filter(~F.col("text").isin("[deleted]", "[removed]") & (F.col("source") != "[deleted]"))
     return corpus.to_comments(docs, min_comments=min_comments, materialize=materialize)
 
 

@@ -38,7 +38,7 @@ def sentences_cte(min_words: int = 5, min_sentences: int = 2, min_comments: int
     return f"""
 c0 AS (
   SELECT lang, source, doc_id, {kept_sentences('text', min_words)} AS sents
-  FROM documents WHERE text NOT IN ('[deleted]', '[removed]')
+  FROM documents WHERE text NOT IN ('[deleted]', '[removed]') AND source <> '[deleted]'
 ),
 c1 AS (SELECT * FROM c0 WHERE len(sents) >= {min_sentences}),
 ok_users AS (
