@@ -57,12 +57,13 @@ def lexical_scores(spark, sf):
     """Fit TF-IDF + LR on the labelled documents (quality label) and score them;
     the probability table is cached as Parquet in the shared scratch folder
     and read back (compute once, reuse)."""
-    w, vocab = tfidf_weights(spark, sf)
-    size = vocab.agg(F.max("idx")).first()[0] + 1
+    w, _ = tfidf_weights(spark, sf)
+    # pin the weights once (reliable checkpoint in the shared folder): the
+    # vector size and the optimiser's many passes then read it, not TF-IDF
+    w = checkpoint(w)
+    size = w.agg(F.max("idx")).first()[0] + 1
     vec = lexical.to_vectors(w, size)
     lab = table(spark, sf, "labels").select("doc_id", C("quality").cast("double").alias("label"))
-    # the optimiser makes many passes: pin the training vectors once (reliable
-    # checkpoint in the shared folder, lineage cut) instead of recomputing TF-IDF
     data = checkpoint(vec.join(lab, "doc_id"))
     model = lexical.fit_lexical(data, "label", c=3.0, max_iter=200)
     scored = model.transform(data).select(
