@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from styleframe.llm import decontaminate, langid, mixing, sharding, simhash_dedup
+from styleframe.llm import decontaminate, langid, mixing, pii, sharding, simhash_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +44,15 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op4_decontamination, op5_sharding, op8_mixing, op9_simhash_dedup, pipeline)}
+    op1_language_id, op4_decontamination, op5_sharding, op8_mixing, op9_simhash_dedup, op10_pii, pipeline)}
 SQL = {"op8_mixing": mixing.SQL}
