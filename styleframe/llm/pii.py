@@ -89,7 +89,7 @@ def spans_of(text: Column, pattern, valid=lambda m: F.lit(True), contexts: bool
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     pieces = F.split(text, pattern, -1)
     both = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), pieces.alias("p"),
-                        (F.slice(pieces, 2, 2147483647) if contexts else F.array().cast("array<string>")).alias("q"))
+                        (F.slice(pieces, 2, 1 << 30) if contexts else F.array().cast("array<string>")).alias("q"))
 
     def step(acc, x):
         a = acc["at"] + F.length(x["p"])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from styleframe.llm import decontaminate, langid, mixing, pii, sharding, simhash_dedup
+from styleframe.llm import decontaminate, langid, mixing, pii, quality, sharding, simhash_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = remainder("doc_id", 4) == 2
+    model = quality.fit(docs, read(spark, sf_dir, "labels").where(~held))
+    out = quality.score(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return out.select("row.doc_id", "row.held_out", "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -54,5 +62,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op4_decontamination, op5_sharding, op8_mixing, op9_simhash_dedup, op10_pii, pipeline)}
+    op1_language_id, op4_decontamination, op5_sharding, op6_quality, op8_mixing, op9_simhash_dedup, op10_pii, pipeline)}
 SQL = {"op8_mixing": mixing.SQL}
