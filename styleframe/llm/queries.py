@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from styleframe.llm import decontaminate, langid, mixing, pii, quality, sharding, simhash_dedup
+from styleframe.llm import decontaminate, langid, mixing, neighbours, pii, quality, sharding, simhash_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -62,5 +66,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op4_decontamination, op5_sharding, op6_quality, op8_mixing, op9_simhash_dedup, op10_pii, pipeline)}
+    op1_language_id, op3_neighbours, op4_decontamination, op5_sharding, op6_quality, op8_mixing, op9_simhash_dedup, op10_pii, pipeline)}
 SQL = {"op8_mixing": mixing.SQL}
