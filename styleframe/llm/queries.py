@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from styleframe.llm import decontaminate, langid, mixing, neighbours, pii, quality, sharding, simhash_dedup
+from styleframe.llm import chat, decontaminate, langid, licenses, mixing, neighbours, pii, quality, sharding, simhash_dedup
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read(spark, sf_dir, "conversations"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
@@ -48,6 +52,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.held_out", "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -66,5 +74,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_neighbours, op4_decontamination, op5_sharding, op6_quality, op8_mixing, op9_simhash_dedup, op10_pii, pipeline)}
-SQL = {"op8_mixing": mixing.SQL}
+    op1_language_id, op2_chat, op3_neighbours, op4_decontamination, op5_sharding, op6_quality, op7_licenses, op8_mixing, op9_simhash_dedup, op10_pii, pipeline)}
+SQL = {"op2_chat": chat.SQL, "op8_mixing": mixing.SQL}
