@@ -140,24 +140,26 @@ class Index:
 
     def matches(self, h: np.ndarray, grams: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(template, matched, first word, last word) in one text, given its fingerprints that are in the index."""
-        places: dict[int, list[int]] = {}
+        places: dict[int, list[tuple[int, int]]] = {}
         lo, hi = np.searchsorted(self.keys, grams, "left"), np.searchsorted(self.keys, grams, "right")
         for a, x, y in zip(at, lo, hi):
             for t, p in self.where[x:y]:
-                places.setdefault(t, []).append(int(a) - p)
+                places.setdefault(t, []).append((int(a), p))
         found = []
-        for t, shifts in places.items():
-            shifts.sort()
-            start = None
-            for s in shifts:
-                if start is not None and s - start <= BAND:
+        for t, pairs in places.items():
+            pairs.sort()
+            start, after = None, 0  # the diagonal of the last place, the word after its last match
+            for a, p in pairs:
+                s = a - p
+                if start is not None and abs(s - start) <= BAND and a < after:
                     continue
-                start = s
-                base = max(0, s - BAND)
-                part = h[base:s + len(self.texts[t]) + 2 * BAND]
+                base = max(0, after, s - BAND)
+                part = h[base:max(base, s + len(self.texts[t]) + 2 * BAND)]
                 n, first, last = align(self.texts[t], part, s - base)
+                start, after = s, max(after, a + 1)
                 if n >= COVERAGE * len(self.texts[t]):
                     found.append((t, n, first + base, last + base))
+                    after = last + base + 1
         found.sort(key=lambda f: (-f[1], -f[1] / len(self.texts[f[0]]), f[2], f[0]))
         kept: list[tuple[int, int, int, int]] = []
         for f in found:
