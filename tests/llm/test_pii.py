@@ -124,3 +124,10 @@ def test_many_matches_in_one_text(spark, n):
 def test_no_python_in_the_plan(spark, make):
     plan = pii.find(make(planted()))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_shuffled_terms_give_the_same(spark, make, monkeypatch):
+    docs = make(planted() + planted()[:2])
+    want = sorted(map(str, pii.find(docs).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert sorted(map(str, pii.find(docs).collect())) == want
