@@ -151,24 +151,31 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def disclosing_terms(docs: DataFrame, base: DataFrame, text: str = "text") -> DataFrame:
     """(t, full): terms whose disclosure of some entity exceeds the threshold; full if it is complete."""
     beside = co_occurrences(base)
+    n_docs = F.lit(max(1, base.count()))
     seen = beside.groupBy("e", "t", "c").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.count("*").alias("contexts"))
-    seen = checkpoint(seen.where(F.col("contexts") >= SUPPORT))
-    terms = checkpoint(seen.select("t").distinct())
+    pairs = beside.select("id", "th", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("n_both"))
+    entities = beside.select("id", "th", "e").distinct().groupBy("e").agg(F.log2(n_docs / F.count("*")).alias("ic"))
+    # documents with the term are at least those in which it stands beside any entity, which bounds p(e | t)
+    # from above: words that stand beside many entities cannot disclose one, and are not counted further
+    least = beside.select("id", "th", "t").distinct().groupBy("t").agg(F.count("*").alias("n_least"))
+    open_ = (seen.where(F.col("contexts") >= SUPPORT).join(pairs, ["e", "t"]).join(entities, "e").join(least, "t")
+             .where(_discloses(F.col("n_both") / F.col("n_least"))).select("t", "n_both", "ic"))
+    open_ = checkpoint(open_)
+    terms = checkpoint(open_.select("t").distinct())
     n_terms = terms.count()
     if n_terms == 0:
         return terms.select("t", F.lit(False).alias("full"))
-    pairs = (beside.select("id", "th", "e", "t").distinct().join(_small(seen.select("e", "t"), n_terms), ["e", "t"], "left_semi")
-             .groupBy("e", "t").agg(F.count("*").alias("n_both")))
-    entities = (beside.select("id", "th", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e")))
     words = docs.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("t"))
     if n_terms <= BROADCAST_TERMS:
         words = words.join(F.broadcast(terms), "t", "left_semi")
     counts = words.groupBy("t").agg(F.count("*").alias("n_t"))
-    n_docs = docs.count()
-    scored = pairs.join(entities, "e").join(counts, "t").select(
-        "t", F.log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n_t"))).alias("given"), F.log2(F.lit(n_docs) / F.col("n_e")).alias("ic"))
-    return checkpoint(scored.where(F.col("given") + F.col("ic") >= F.col("ic") / ALPHA)
-                      .groupBy("t").agg(F.max(F.col("given") >= 0).alias("full")))
+    given = F.least(F.lit(1.0), F.col("n_both") / F.col("n_t"))
+    return checkpoint(open_.join(counts, "t").where(_discloses(given)).groupBy("t").agg(F.max(given >= 1).alias("full")))
+
+
+def _discloses(given: Column) -> Column:
+    """PMI >= IC / ALPHA, for p(e | t) and the column ic."""
+    return F.log2(given) + F.col("ic") >= F.col("ic") / ALPHA
 
 
 def term_pattern(terms: Column) -> Column:
@@ -181,13 +188,15 @@ def term_spans(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     n = terms.count()
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    held = (rows.select("id", "th", F.explode(F.array_distinct(words_of(F.col("text")))).alias("t"))
-            .join(_small(terms, n), "t").groupBy("id", "th").agg(F.collect_set("t").alias("terms")))
-    held = checkpoint(held)
-    mine = held.withColumnsRenamed({"id": "_id", "th": "_th"})
-    rows = rows.join(mine, rows["id"].eqNullSafe(mine["_id"]) & (rows["th"] == mine["_th"]))
-    return (rows.select("id", "th", "terms", spans_of(F.col("text"), term_pattern(F.col("terms")), contexts=False).alias("term"))
-            .dropDuplicates(["id", "th"]))
+    words = F.explode(F.array_distinct(words_of(F.col("text")))).alias("t")
+    if n <= BROADCAST_TERMS:  # the text goes along: it is only copied for documents that hold a term
+        rows = (rows.select("id", "th", "text", words).join(F.broadcast(terms), "t")
+                .groupBy("id", "th").agg(F.collect_set("t").alias("terms"), F.first("text").alias("text")))
+    else:
+        held = rows.select("id", "th", words).join(terms, "t").groupBy("id", "th").agg(F.collect_set("t").alias("terms"))
+        held = held.withColumnsRenamed({"id": "_id", "th": "_th"})
+        rows = rows.dropDuplicates(["id", "th"]).join(held, rows["id"].eqNullSafe(held["_id"]) & (rows["th"] == held["_th"]))
+    return rows.select("id", "th", "terms", spans_of(F.col("text"), term_pattern(F.col("terms")), contexts=False).alias("term"))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
