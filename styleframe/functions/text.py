@@ -40,13 +40,17 @@ def clean_text(text) -> Column:
 
     The URL and entity rules only run on text that contains 'http' / '&'
     (a cheap substring test in front of the regex engine; same result)."""
-    t0 = _c(text)
-    t = F.when(t0.contains("http"), F.regexp_replace(t0, f"http{NOT_WS}+", "URL")).otherwise(t0)
-    t = F.when(t.contains("&"), F.regexp_replace(t, f"&{WORD}+;?", "")).otherwise(t)
+    return F.element_at(clean_texts(F.array(_c(text))), 1)
+
+
+def clean_texts(texts) -> Column:
+    """``clean_text`` of every element: one ``transform`` per stage, so that a stage which reads its
+    input more than once finds a value there, not the stages before it again."""
+    t = F.transform(_c(texts), lambda s: F.when(s.contains("http"), F.regexp_replace(s, f"http{NOT_WS}+", "URL")).otherwise(s))
+    t = F.transform(t, lambda s: F.when(s.contains("&"), F.regexp_replace(s, f"&{WORD}+;?", "")).otherwise(s))
     # every whitespace char -> ' ' (a char map, no regex), then collapse and trim
-    t = F.translate(t, WS_LITERAL, " " * len(WS_LITERAL))
-    t = F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
-    return F.trim(t)
+    t = F.transform(t, lambda s: F.translate(s, WS_LITERAL, " " * len(WS_LITERAL)))
+    return F.transform(t, lambda s: F.trim(F.when(s.contains("  "), F.regexp_replace(s, " {2,}", " ")).otherwise(s)))
 
 
 def clean_word_count(cleaned) -> Column:

@@ -17,6 +17,11 @@ def dot(a, b) -> Column:
                        lambda acc, x: acc + x)
 
 
+def argmax_by(a: Column, value) -> Column:
+    """0-based index of the largest ``value(element)``; the first one on ties."""
+    return bind(F.transform(a, value), argmax)
+
+
 def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
@@ -29,10 +34,15 @@ def scale(a, s: Column) -> Column:
     return F.transform(_c(a), lambda x: x * s)
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: an expression inside a lambda is evaluated for
+    every element, a lambda variable is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(a, floor: float = NORM_FLOOR) -> Column:
     """x / max(||x||, floor) — never divides by zero (ANSI-safe)."""
-    n = F.greatest(norm(a), F.lit(floor))
-    return F.transform(_c(a), lambda x: x / n)
+    return bind(_c(a), lambda v: bind(F.greatest(norm(v), F.lit(floor)), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def cosine(a, b, floor: float = NORM_FLOOR) -> Column:
@@ -54,11 +64,14 @@ def argmax(p) -> Column:
 
 
 def softmax(z) -> Column:
-    """exp(x - max) / sum; pass a column *name* (or a cheap column) — the input
-    is referenced more than once."""
-    m = F.array_max(_c(z))
-    s = F.aggregate(_c(z), F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
-    return F.transform(_c(z), lambda x: F.exp(x - m) / s)
+    """exp(x - max) / sum; max, exponentials and sum are each evaluated once."""
+    def shares(e):
+        return bind(vsum(e), lambda s: F.transform(e, lambda x: x / s))
+
+    def exponentials(v):
+        return bind(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+
+    return bind(_c(z), lambda v: bind(exponentials(v), shares))
 
 
 def sigmoid(z) -> Column:

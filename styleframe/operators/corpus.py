@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from styleframe.functions import keyed
-from styleframe.functions.text import (REMOVED_AUTHORS, REMOVED_BODIES, clean_text,
+from styleframe.functions.text import (REMOVED_AUTHORS, REMOVED_BODIES, clean_texts,
                                        clean_word_count, clean_words, split_sentences)
 
 
@@ -26,10 +26,13 @@ def drop_removed(df: DataFrame, text: str = "text", author: str | None = "author
                  min_length: int = 10) -> DataFrame:
     """Drop removed bodies, non-person authors and texts shorter than min_length
     code points.  Cheap predicates only, so they run before any costly test."""
+    return df.filter(usable(text, author, min_length))
+
+
+def usable(text: str = "text", author: str | None = "author", min_length: int = 10) -> Column:
+    """The condition of ``drop_removed``."""
     cond = ~F.col(text).isin(*REMOVED_BODIES) & (F.char_length(text) >= min_length)
-    if author is not None:
-        cond = cond & ~F.col(author).isin(*REMOVED_AUTHORS)
-    return df.filter(cond)
+    return cond if author is None else cond & ~F.col(author).isin(*REMOVED_AUTHORS)
 
 
 def keep_languages(df: DataFrame, codes, text: str = "text", lang: str = "lang",
@@ -51,7 +54,7 @@ def keep_languages(df: DataFrame, codes, text: str = "text", lang: str = "lang",
 
 def kept_sentences(text) -> Column:
     """array<string> of cleaned sentences (split first, then clean each)."""
-    return F.transform(split_sentences(text), lambda s: clean_text(s))
+    return clean_texts(split_sentences(text))
 
 
 def with_sentences(df: DataFrame, text: str = "text", min_words: int = 5,

@@ -81,21 +81,30 @@ def line_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str],
         .drop("_goff", "_first")
 
 
-def with_spans(sent: DataFrame, dialect: str = "lang", user: str = "source",
-               comment: str = "doc_id", pos: str = "sent_idx") -> DataFrame:
-    """Add idx and [start, end) of the comment, user and dialect of each sentence.
+def comment_spans(comments: DataFrame, dialect: str = "lang", user: str = "source",
+                  comment: str = "doc_id", n: str = "n") -> DataFrame:
+    """[start, end) of the comment, user and dialect for each comment of ``n`` sentences, in the
+    order dialect, user, comment; sentence ``p`` of a comment has index comment_start + p.
 
-    Order: dialect, user, comment, sentence position (positions must be dense
-    0..n-1 inside a comment, as ``explode_sentences`` produces)."""
+    Works on one short row per comment: no sentence is exploded, counted or joined."""
     keys = [dialect, user, comment]
-    per_comment = sent.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # partial agg
-    cs = prefix_offsets(per_comment, keys, "_n", out="comment_start") \
-        .withColumn("comment_end", F.col("comment_start") + F.col("_n"))
+    cs = prefix_offsets(comments.select(*keys, F.col(n).cast("bigint").alias(n)), keys, n, out="comment_start") \
+        .withColumn("comment_end", F.col("comment_start") + F.col(n))
     users = cs.groupBy(dialect, user).agg(F.min("comment_start").alias("user_start"),
                                           F.max("comment_end").alias("user_end"))
     dialects = users.groupBy(dialect).agg(F.min("user_start").alias("dialect_start"),
                                           F.max("user_end").alias("dialect_end"))
-    spans = (cs.drop("_n").join(users, [dialect, user]).join(dialects, [dialect]))
+    return cs.join(users.join(dialects, dialect), [dialect, user])
+
+
+def with_spans(sent: DataFrame, dialect: str = "lang", user: str = "source",
+               comment: str = "doc_id", pos: str = "sent_idx") -> DataFrame:
+    """Add idx and [start, end) of the comment, user and dialect to rows that already are sentences
+    (positions dense 0..n-1 inside a comment, as ``explode_sentences`` produces).  From comments,
+    ``comment_spans`` and an explode are cheaper."""
+    keys = [dialect, user, comment]
+    per_comment = sent.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))  # partial agg
+    spans = comment_spans(per_comment, dialect, user, comment).drop("n")
     return (sent.join(spans, keys)
             .withColumn("idx", (F.col("comment_start") + F.col(pos)).cast("bigint")))
 
@@ -119,4 +128,4 @@ def nest(sent: DataFrame, dialect: str = "lang", user: str = "source",
             .select(dialect, user, comment, strip.alias("sentences")))
 
 
-__all__ = ["flatten_entries", "prefix_offsets", "with_spans", "nest", "SPAN_COLS"]
+__all__ = ["flatten_entries", "prefix_offsets", "comment_spans", "with_spans", "nest", "SPAN_COLS"]

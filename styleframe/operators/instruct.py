@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from styleframe.functions import keyed
 from styleframe.functions.text import ARABIC_RANGES, WS, is_script, strip_wrapping_quotes
+from styleframe.operators.hierarchy import line_numbers
 
 # --- fixed values: dialect labels -> country codes (dataset vocabularies) ---
 DIALECT_TO_COUNTRY = {
@@ -224,17 +225,24 @@ def pair_turns(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
                role: str = "role", text: str = "text") -> DataFrame:
     """Each user turn followed by an assistant turn -> (prompt, ground_truth).
 
-    ``lead`` over (conversation, turn): a window partitioned by conversation,
-    so a task holds one conversation at a time."""
-    w = Window.partitionBy(conv_id).orderBy(turn)
-    nxt = conv.withColumn("_next_role", F.lead(role).over(w)) \
-        .withColumn("_next_text", F.lead(text).over(w))
+    The next turn comes from ``with_next``, so a hot conversation is spread."""
+    nxt = with_next(conv, conv_id, turn, {role: "_next_role", text: "_next_text"})
     pairs = nxt.filter((F.col(role) == "user") & (F.col("_next_role") == "assistant"))
     return pairs.select(conv_id, turn, F.array(F.struct(F.lit("user").alias("role"),
                                                         F.col(text).alias("content"))).alias("prompt"),
                         F.col("_next_text").alias("ground_truth"))
 
 
+def with_next(df: DataFrame, group: str, order: str, cols: dict[str, str]) -> DataFrame:
+    """Add columns of the next row of the group in ``order`` (null for the last one).
+
+    Rows are numbered by a distributed prefix sum and joined on (group, number), so no task holds
+    a whole group (``lead`` over the group would)."""
+    rows = line_numbers(df, [group], [order], out="_line")
+    after = rows.select(F.col(group).alias("_g"), (F.col("_line") - 1).alias("_l"), *[F.col(c).alias(n) for c, n in cols.items()])
+    return rows.join(after, (F.col(group) == F.col("_g")) & (F.col("_line") == F.col("_l")), "left").drop("_g", "_l", "_line")
+
+
 def align_by_position(left: DataFrame, right: DataFrame, key: str, text: str = "text",
                       out: str = "english", fallback: DataFrame | None = None) -> DataFrame:
     """Attach the aligned line of another corpus by position (``key`` = line

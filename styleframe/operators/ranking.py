@@ -101,6 +101,43 @@ def margin_loss(scores: DataFrame, query: Sequence[str], item: str = "item",
     return p.groupBy(*q).agg(F.avg(loss).alias("margin_loss"))
 
 
+def query_metrics(scores: DataFrame, query: Sequence[str], anchor: str = "anchor", item: str = "item",
+                  score: str = "score", grade: str = "grade", ks: Sequence[int | None] = (None,),
+                  margin: float = 0.5) -> DataFrame:
+    """(query..., anchor, ndcg per k, rr, rr_compat, margin_loss) of every anchor, in one pass.
+
+    The rank, tie and ideal-position columns are shared by all metrics, and all windows and the
+    aggregate are over one (query, anchor), so the rows move once.  The anchor's own row counts
+    for the margin loss only; an anchor without relevant items has reciprocal ranks 0."""
+    q = [*query, anchor]
+    own = C(item) == C(anchor)
+    w = Window.partitionBy(*q, "_own")
+    s = scores.withColumn("_own", own)
+    by_score = w.orderBy(C(score).desc())
+    tie = Window.partitionBy(*q, "_own", score)
+    s = (s.withColumn("_start", F.rank().over(by_score) - 1).withColumn("_size", F.count(F.lit(1)).over(tie))
+         .withColumn("_avg", F.avg(grade).over(tie))
+         .withColumn("_r", F.row_number().over(w.orderBy(C(score).desc(), C(item))))
+         .withColumn("_ip", F.row_number().over(w.orderBy(C(grade).desc(), C(item))) - 1))
+    rel = ~C("_own") & (C(grade) > 0)
+    aggs = []
+    for k in ks:
+        gain = C("_avg") * _disc_sum(C("_start"), C("_size"), k) / C("_size")
+        ideal = C(grade) * _disc_sum(C("_ip"), F.lit(1), k)
+        aggs += [F.sum(F.when(~C("_own"), gain)).alias(f"_d{k or ''}"), F.sum(F.when(~C("_own"), ideal)).alias(f"_i{k or ''}")]
+    g = s.groupBy(*q).agg(
+        *aggs, F.min(F.when(rel, C("_r"))).alias("_first"),
+        F.max(F.when(rel, F.struct(C(score).alias("s"), (-C("_ip")).alias("p")))).alias("_best"),
+        F.collect_list(F.struct(C(score).alias("s"), C(grade).cast("int").alias("g"))).alias("_l"),
+        F.count_if(~C("_own")).alias("_n")).filter(C("_n") > 0)
+    pairs = F.flatten(F.transform("_l", lambda x: F.transform(F.filter("_l", lambda y: y["g"] != x["g"]), lambda y: F.greatest(
+        F.lit(0.0), F.lit(margin) - F.signum(x["g"] - y["g"]) * (x["s"] - y["s"])))))
+    mean = V.bind(pairs, lambda p: F.when(F.size(p) > 0, V.vsum(p) / F.size(p)))
+    cols = [F.when(C(f"_i{k or ''}") > 0, C(f"_d{k or ''}") / C(f"_i{k or ''}")).otherwise(F.lit(0.0)).alias(f"ndcg_{k}" if k else "ndcg") for k in ks]
+    return g.select(*q, *cols, F.coalesce(F.lit(1.0) / C("_first"), F.lit(0.0)).alias("rr"),
+                    F.coalesce(F.lit(1.0) / (1 - C("_best.p")), F.lit(0.0)).alias("rr_compat"), mean.alias("margin_loss"))
+
+
 def jaccard_topk(feats: DataFrame, batch: str, key: str, feature: str, k: int = 5) -> DataFrame:
     """Pair weights inside a batch: inter / (|a| + |b| - inter + 1e-8), self 0;
     per row keep every weight >= the k-th largest of the row (ties kept;

@@ -75,6 +75,16 @@ def pick(spans: DataFrame, relation: str, seed: int = 42, step: int = 0,
     raise ValueError(relation)
 
 
+def picks(spans: DataFrame, seed: int = 42, step: int = 0) -> DataFrame:
+    """(idx, relation, picked): one keyed pick per row and relation, drawn in one pass over the rows."""
+    total = spans.crossJoin(F.broadcast(_total(spans)))  # one-row scalar
+    u = {r: keyed.uniform(seed, F.lit(r), C("idx"), F.lit(step)) for r in RELATIONS}
+    drawn = {"comment": same_comment(u["comment"]), "author": same_author(u["author"]),
+             "dialect": same_dialect(u["dialect"]), "language": other_dialect(u["language"], C("_total"))}
+    rows = F.array(*[F.struct(F.lit(r).alias("relation"), drawn[r].alias("picked")) for r in RELATIONS])
+    return total.select("idx", F.explode(rows).alias("_x")).select("idx", "_x.relation", "_x.picked")
+
+
 def gather(df: DataFrame, spans: DataFrame, picked: str, cols: Sequence[str],
            prefix: str = "picked_") -> DataFrame:
     """Equi-join a picked global index back to the rows it names."""
@@ -136,8 +146,11 @@ def graded_groups(spans: DataFrame, seed: int = 42, mini: bool = False) -> DataF
         else:
             new = same_author(u) if rel == "author" else \
                 same_dialect(u) if rel == "dialect" else other_dialect(u, C("_total"))
-            state = (state.withColumn(f"i{p}", new).drop(*span_cols)
-                     .join(look, C(f"i{p}") == C("_new"), "left").drop("_new")
+            # an impossible draw is null; its key is a number of its own that matches nothing, so
+            # such rows spread over all partitions instead of meeting in one
+            state = state.withColumn(f"i{p}", new).drop(*span_cols) \
+                .withColumn("_at", F.coalesce(C(f"i{p}"), -1 - C("anchor")))
+            state = (state.join(look, C("_at") == C("_new"), "left").drop("_new", "_at")
                      .withColumn("idx", C(f"i{p}")))
         at = p
     pairs = F.array(*[F.struct(F.lit(p).alias("pos"), C(f"i{p}").alias("item"))

@@ -3,8 +3,8 @@
 The vocabulary is the top-``size`` words by corpus count (ties by word).  The
 top-N is a ``TakeOrderedAndProject`` (per-partition top-N, then a merge of at
 most N rows per partition), so no single task ever sees the whole word table.
-Encoding joins the first ``max_length`` words of each row to the vocabulary
-(broadcast: its size is bounded by ``size``) and gathers ids back in order.
+Encoding joins the first ``max_length`` words of each row to the vocabulary (AQE
+picks the join by its measured size) and gathers ids back in order.
 (A map column is not used: Spark looks keys up in a map by linear scan.)
 """
 
@@ -29,23 +29,17 @@ def build_vocab(df: DataFrame, words: str = "words", size: int = 50000) -> DataF
 
 
 def encode(df: DataFrame, vocab: DataFrame, key, words: str = "words", out: str = "input_ids",
-           max_length: int = 512, vocab_size_bound: int | None = 50000,
-           keep_existing: bool = True) -> DataFrame:
+           max_length: int = 512, keep_existing: bool = True) -> DataFrame:
     """Map words to ids (unknown -> UNK_ID), truncated to ``max_length``.
 
     Only the first ``max_length`` positions are exploded; they are joined to
     the vocabulary and gathered back per row in position order (a row's list
-    is bounded by ``max_length``).  The vocabulary is broadcast when its size
-    is bounded by construction (``vocab_size_bound`` = the ``size`` given to
-    ``build_vocab``); otherwise AQE picks the join.  Rows that already carry
-    ``out`` keep it (entries already tokenised)."""
+    is bounded by ``max_length``).  Rows that already carry ``out`` keep it
+    (entries already tokenised)."""
     key = [key] if isinstance(key, str) else list(key)
     toks = (df.select(*key, F.posexplode(words).alias("_pos", "token"))
             .filter(F.col("_pos") < max_length))
-    v = vocab.select("token", "token_id")
-    if vocab_size_bound is not None and vocab_size_bound <= 2_000_000:
-        v = F.broadcast(v)
-    j = toks.join(v, "token", "left")
+    j = toks.join(vocab.select("token", "token_id"), "token", "left")
     ids = (j.groupBy(*key)
            .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token_id", F.lit(UNK_ID))
                                                      .alias("_id")))).alias("_l"))

@@ -9,6 +9,7 @@ from styleframe.functions import vectors as V
 from styleframe.operators import classify, vectors
 from styleframe.plans import sqlx
 from styleframe.plans.registry import register
+from styleframe.session import checkpoint
 from styleframe.sources.tables import table
 
 C = F.col
@@ -16,25 +17,29 @@ KNOWN = 8          # open-set: labels >= KNOWN are "unknown" (sentinel KNOWN)
 
 
 def centroid_probs(spark, sf, temp: float = 10.0, kind: str = "cos", known: int | None = None):
-    """(vec_id, label, proba array<double>) — softmax over class centroids.
+    """(vec_id, label, proba array<double>) — softmax over class centroids."""
+    return centroid_tables(spark, sf, {"proba": (temp, kind)}, known)
 
-    The centroid table has one row per class (bounded by the label space) and
-    is attached to every row as one broadcast row of K vectors.  Scores,
-    norms and probabilities are separate projections so no heavy expression
-    is inlined twice."""
+
+def centroid_tables(spark, sf, kinds: dict[str, tuple[float, str]], known: int | None = None):
+    """(vec_id, label, one probability array per entry of ``kinds``) in one scan of the vectors.
+
+    The classes are the model: one row of K mean vectors, attached to every row by a broadcast.  Dot
+    products with them are computed once and shared by all kinds."""
     e = table(spark, sf, "embeddings").withColumn("v", V.as_double("embedding"))
     src = e if known is None else e.filter(C("label") < known)
     per_class = vectors.centroid(src, "v", by="label").withColumn("norm", V.norm("mean"))
-    classify.check_label_space(per_class)
     cents = per_class.agg(F.array_sort(F.collect_list(F.struct("label", "mean", "norm"))).alias("_cl"))
-    x = e.crossJoin(F.broadcast(cents)).withColumn("_nv", V.norm("v"))
-    if kind == "cos":
-        z = F.transform("_cl", lambda c: F.lit(temp) * V.dot(C("v"), c["mean"])
-                        / (F.greatest(C("_nv"), F.lit(1e-12)) * F.greatest(c["norm"], F.lit(1e-12))))
-    else:
-        z = F.transform("_cl", lambda c: F.lit(temp) * V.dot(C("v"), c["mean"]))
-    x = x.select("vec_id", "label", z.alias("_z"))
-    return x.select("vec_id", "label", V.softmax("_z").alias("proba"))
+    x = e.crossJoin(F.broadcast(cents))
+
+    def probs(temp, kind):
+        scale = (lambda n, d: d["n"] * n) if kind == "cos" else (lambda n, d: F.lit(1.0))
+        return lambda n, ds: V.softmax(F.transform(ds, lambda d: F.lit(temp) * d["d"] / scale(n, d)))
+
+    dots = F.transform("_cl", lambda c: F.struct(V.dot(C("v"), c["mean"]).alias("d"), F.greatest(c["norm"], F.lit(1e-12)).alias("n")))
+    both = V.bind(dots, lambda ds: V.bind(F.greatest(V.norm("v"), F.lit(1e-12)), lambda n: F.struct(
+        *[probs(*how)(n, ds).alias(name) for name, how in kinds.items()])))
+    return x.select("vec_id", "label", F.explode(F.array(both)).alias("_p")).select("vec_id", "label", "_p.*")
 
 
 def _probs_sql(name: str, temp: float = 10.0, kind: str = "cos", known: int | None = None) -> str:
@@ -133,14 +138,16 @@ SELECT (SELECT round(avg(f1), 9) FROM rep) AS macro_f1,
        (SELECT round(avg(l), 9) FROM bl) AS mean_loss
 """)
 def f1_scores(spark, sf):
-    p = predictions(spark, sf)
-    m = classify.macro_f1(p, "label", "pred")
-    acc = p.agg((F.count_if(C("label") == C("pred")) / F.greatest(F.count(F.lit(1)), F.lit(1)))
-                .alias("accuracy"))
+    # one scan: counts by (batch, true, predicted) with the loss summed; all scores come from them
+    p = predictions(spark, sf).withColumn("loss", -F.log(F.element_at("proba", C("label") + 1)))
+    cells = checkpoint(p.groupBy(F.floor(C("vec_id") / 16).alias("batch"), C("label").alias("_t"), C("pred").alias("_p"))
+                       .agg(F.count(F.lit(1)).alias("_n"), F.sum("loss").alias("_loss")))
+    pairs = cells.groupBy("_t", "_p").agg(F.sum("_n").alias("_n"))
+    m = classify.prf(classify.counts_of_pairs(pairs, [])).agg(F.avg("f1").alias("macro_f1"))
+    acc = pairs.agg((F.sum(F.when(C("_t") == C("_p"), C("_n")).otherwise(0)) / F.greatest(F.sum("_n"), F.lit(1)))
+                    .alias("accuracy"))
     # loss averaged per batch of 16, then over batches
-    loss = (p.withColumn("batch", F.floor(C("vec_id") / 16))
-            .withColumn("loss", -F.log(F.element_at("proba", C("label") + 1)))
-            .groupBy("batch").agg(F.avg("loss").alias("l")).agg(F.avg("l").alias("mean_loss")))
+    loss = cells.groupBy("batch").agg((F.sum("_loss") / F.sum("_n")).alias("l")).agg(F.avg("l").alias("mean_loss"))
     return m.crossJoin(acc).crossJoin(loss).select(
         F.round("macro_f1", 9).alias("macro_f1"), F.round("accuracy", 9).alias("accuracy"),
         F.round("mean_loss", 9).alias("mean_loss"))
@@ -163,9 +170,8 @@ best AS (SELECT coalesce(min(CASE WHEN round(macro_f1, 12) = m AND m > 0 THEN k
 SELECT round(k / 20, 2) AS w, round(macro_f1, 9) AS macro_f1, k = bk AS is_best FROM sc, best
 """)
 def blend_sweep(spark, sf):
-    pa = centroid_probs(spark, sf).select("vec_id", "label", C("proba").alias("pa"))
-    pb = centroid_probs(spark, sf, temp=20.0, kind="dot").select("vec_id", C("proba").alias("pb"))
-    sc, best = classify.tune_blend(pa.join(pb, "vec_id"), "pa", "pb", "label")
+    both = centroid_tables(spark, sf, {"pa": (10.0, "cos"), "pb": (20.0, "dot")})
+    sc, best = classify.tune_blend(both, "pa", "pb", "label")
     return sc.crossJoin(best).select(F.round("w", 2).alias("w"), F.round("macro_f1", 9).alias("macro_f1"),
                                      (F.round(C("w"), 9) == F.round(C("best_w"), 9)).alias("is_best"))
 
@@ -252,8 +258,7 @@ FROM f
 """)
 def multi_label_eval(spark, sf):
     x = _ml_frame(spark, sf)
-    classes = classify.label_map(spark.createDataFrame([(["quality", "toxic"],)], "tags array<string>"),
-                                 "tags", multi=True)
+    classes = classify.label_map(x, "tags", multi=True)
     y = classify.encode_labels(x, classes, "tags", multi=True, out="y")
     z = F.array(((C("n_chars") - 2000) / 1000.0), ((C("n_chars") - 6000) / 1000.0))
     pred = F.transform(V.sigmoid(z), lambda p: F.when(p >= 0.5, 1.0).otherwise(0.0))

@@ -10,8 +10,7 @@ from styleframe.plans import sqlx
 from styleframe.plans.registry import register
 from styleframe.sources.tables import table
 
-# 20 users per language in the driver tables: scale the 5/5/200 defaults down.
-SPLIT_ARGS = dict(test=3, dev=3, train=10, seed=42)
+SPLIT_ARGS = dict(test=5, dev=5, train=200, seed=42)
 
 
 def comments(spark, sf, min_comments: int | None = 2, materialize: bool = True):

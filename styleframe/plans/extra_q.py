@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from styleframe.functions import vectors as V
 from styleframe.functions.text import WS
-from styleframe.operators import corpus, cues, encode, vectors
+from styleframe.operators import corpus, cues, encode, instruct, vectors
 from styleframe.plans import sqlx
 from styleframe.plans.corpus_q import sentences
 from styleframe.plans.registry import register
@@ -80,9 +80,10 @@ def linear_probe(spark, sf):
 
 
 @register("feature_probe", ops=("O-105", "O-68"))
-def feature_probe(spark, sf, n_features: int = 3):
-    """One binary probe per feature (feature j = label == j), logits -> BCE."""
+def feature_probe(spark, sf):
+    """One binary probe per feature (feature j = label == j, for every label), logits -> BCE."""
     d = _emb_vectors(spark, sf)
+    n_features = d.agg(F.max("label")).first()[0] + 1
     outs = []
     for j in range(n_features):
         dj = d.withColumn("y", (C("label") == j).cast("double"))
@@ -168,9 +169,7 @@ SELECT CASE WHEN length(en) > 5 THEN 'bitext' ELSE 'monolingual' END AS type, co
 FROM s WHERE length(text) > 10 GROUP BY ALL
 """)
 def fallback_rows(spark, sf):
-    from pyspark.sql import Window
-    c = table(spark, sf, "conversations")
-    c = c.withColumn("nt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    c = instruct.with_next(table(spark, sf, "conversations"), "conv_id", "turn", {"text": "nt"})
     rows = c.select(F.when(C("turn") % 2 == 0, F.lit("")).otherwise(C("text")).alias("text"),
                     C("text").alias("sentence"),
                     F.when(C("role") == "user", F.coalesce("nt", F.lit(""))).otherwise(F.lit("")).alias("english"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from styleframe.operators import hierarchy, sampling
 from styleframe.plans import sqlx
-from styleframe.plans.corpus_q import sentences
+from styleframe.plans.corpus_q import comments
 from styleframe.plans.registry import register
 from styleframe.sources.tables import table
 
@@ -34,7 +34,9 @@ tot AS (SELECT max(dialect_end) AS total FROM spans)"""
 
 
 def spans(spark, sf):
-    return hierarchy.with_spans(sentences(spark, sf))
+    sized = comments(spark, sf, materialize=False).withColumn("n", F.size("sentences")).drop("sentences")
+    return hierarchy.comment_spans(sized, n="n").withColumn("sent_idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1))) \
+        .withColumn("idx", F.col("comment_start") + F.col("sent_idx")).drop("n")
 
 
 # -- O-21 ----------------------------------------------------------------------
@@ -88,15 +90,7 @@ FROM p LEFT JOIN spans s ON s.idx = p.picked
 """)
 def keyed_picks(spark, sf):
     sp = spans(spark, sf).select("idx", "doc_id", "source", "lang", *hierarchy.SPAN_COLS)
-    outs = []
-    for r in sampling.RELATIONS:
-        outs.append(sampling.pick(sp, r, seed=SEED).select(
-            "idx", F.lit(r).alias("relation"), "picked"))
-    allp = outs[0]
-    for o in outs[1:]:
-        allp = allp.unionByName(o)
-    g = sampling.gather(allp, sp, "picked", ["doc_id", "source", "lang"])
-    return g
+    return sampling.gather(sampling.picks(sp, seed=SEED), sp, "picked", ["doc_id", "source", "lang"])
 
 
 # -- O-92 (+ O-78 grades) -----------------------------------------------------------
@@ -160,7 +154,7 @@ def batches(spark, sf):
 
 # -- O-93 / O-94 / O-95 / O-43 / O-44 / O-57 on documents as corpus samples --------
 TARGETS = ("en", "fr")
-CAP = 30
+CAP = 500
 
 
 def samples(spark, sf):

@@ -55,9 +55,7 @@ FROM documents
 """)
 def keep_ratio(spark, sf):
     d = table(spark, sf, "documents").withColumnRenamed("source", "author")
-    cheap = corpus.drop_removed(d, "text", "author", 10)
-    kept = corpus.keep_languages(cheap, KEEP_LANGS).select("doc_id", F.lit(True).alias("_k"))
-    return corpus.keep_ratio(d.join(kept, "doc_id", "left"), F.col("_k").isNotNull())
+    return corpus.keep_ratio(d, corpus.usable("text", "author", 10) & F.col("lang").isin(*KEEP_LANGS))
 
 
 # -- O-54: comments per author per input file --------------------------------
@@ -149,8 +147,8 @@ def annotator_parse(spark, sf):
 
 
 # -- O-24: vocabulary + ids + truncation -------------------------------------
-VOCAB_SIZE = 2000
-MAX_LEN = 16
+VOCAB_SIZE = 50_000
+MAX_LEN = 512
 
 
 @register("token_ids", ops=("O-24",), sql=f"""
@@ -170,7 +168,7 @@ def token_ids(spark, sf):
     s = sentences(spark, sf)
     vocab = tokens.build_vocab(s, size=VOCAB_SIZE)
     e = tokens.encode(s.select("doc_id", "sent_idx", "words"), vocab, ["doc_id", "sent_idx"],
-                      max_length=MAX_LEN, vocab_size_bound=VOCAB_SIZE)
+                      max_length=MAX_LEN)
     return e.select("doc_id", "sent_idx", F.array_join("input_ids", ",").alias("ids"),
                     F.size("input_ids").cast("bigint").alias("n_ids"))
 

@@ -112,18 +112,16 @@ def embedding_health(spark, sf):
 @register("bce", ops=("O-68", "O-32"), sql=f"""
 WITH {EV},
 t AS (SELECT vec_id, dim, x * 10 AS z, CASE WHEN label = dim THEN 1.0 ELSE 0.0 END AS y
-      FROM ev WHERE dim < 8)
+      FROM ev)
 SELECT round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))), 9) AS bce,
        CAST(sum(CASE WHEN z / 10 > 0.05 THEN 1 ELSE 0 END) AS DOUBLE) AS n_positive
 FROM t
 """)
 def bce(spark, sf):
     e = emb(spark, sf)
-    z = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 10)
-    y = F.transform(F.sequence(F.lit(0), F.lit(7)),
-                    lambda j: F.when(C("label") == j, F.lit(1.0)).otherwise(F.lit(0.0)))
-    d = e.select(z.alias("z"), y.alias("y"),
-                 V.binarise(F.slice(V.as_double("embedding"), 1, 8), 0.05).alias("b"))
+    z = F.transform("embedding", lambda x: x.cast("double") * 10)
+    y = F.transform("embedding", lambda x, j: F.when(C("label") == j, F.lit(1.0)).otherwise(F.lit(0.0)))
+    d = e.select(z.alias("z"), y.alias("y"), V.binarise(V.as_double("embedding"), 0.05).alias("b"))
     loss = vectors.bce(d, "z", "y")
     pos = d.agg(F.sum(V.vsum("b")).alias("n_positive"))
     return loss.crossJoin(pos).select(F.round("bce", 9).alias("bce"), "n_positive")
@@ -150,20 +148,16 @@ GROUP = 16
 
 
 def group_items(spark, sf):
-    """Embeddings as graded groups of 16 consecutive ids (full groups only),
-    unit-normalised."""
-    e = emb(spark, sf).select(F.floor(C("vec_id") / GROUP).cast("bigint").alias("group_id"),
-                              (C("vec_id") % GROUP).cast("int").alias("pos"),
-                              V.unit(V.as_double("embedding")).alias("vec"))
-    full = e.groupBy("group_id").count().filter(C("count") == GROUP).select("group_id")
-    return e.join(full, "group_id", "left_semi")
+    """Embeddings as graded groups of up to 16 consecutive ids, unit-normalised."""
+    return emb(spark, sf).select(F.floor(C("vec_id") / GROUP).cast("bigint").alias("group_id"),
+                                 (C("vec_id") % GROUP).cast("int").alias("pos"),
+                                 V.unit(V.as_double("embedding")).alias("vec"))
 
 
 GROUP_SQL = f"""
 g AS (SELECT CAST(floor(vec_id / {GROUP}) AS BIGINT) AS group_id, CAST(vec_id % {GROUP} AS INTEGER) AS pos,
              {sqlx.vunit('embedding')} AS vec FROM embeddings),
-gf AS (SELECT * FROM g WHERE group_id IN (SELECT group_id FROM g GROUP BY group_id
-                                           HAVING count(*) = {GROUP})),
+gf AS (SELECT * FROM g),
 sc AS (SELECT a.group_id, a.pos AS anchor, b.pos AS item, {sqlx.vdot('a.vec', 'b.vec')} AS score,
               4 - (CASE WHEN xor(a.pos, b.pos) = 0 THEN 0 WHEN xor(a.pos, b.pos) = 1 THEN 1
                         WHEN xor(a.pos, b.pos) < 4 THEN 2 WHEN xor(a.pos, b.pos) < 8 THEN 3
@@ -201,29 +195,23 @@ ml AS (SELECT a.group_id, a.anchor,
        FROM sc a JOIN sc b ON a.group_id = b.group_id AND a.anchor = b.anchor
        WHERE a.grade <> b.grade GROUP BY a.group_id, a.anchor)
 SELECT n0.group_id, round(avg(n0.v), 9) AS ndcg, round(avg(n1.v), 9) AS ndcg_at_1,
-       round(avg(n3.v), 9) AS ndcg_at_3, round(avg(rr.v), 9) AS mrr, round(avg(rc.v), 9) AS mrr_compat,
+       round(avg(n3.v), 9) AS ndcg_at_3, round(avg(coalesce(rr.v, 0)), 9) AS mrr,
+       round(avg(coalesce(rc.v, 0)), 9) AS mrr_compat,
        round(sum(ml.v), 9) AS margin_loss
 FROM n0 JOIN n1 USING (group_id, anchor) JOIN n3 USING (group_id, anchor)
-     JOIN rr USING (group_id, anchor) JOIN rc USING (group_id, anchor)
-     JOIN ml USING (group_id, anchor)
+     LEFT JOIN rr USING (group_id, anchor) LEFT JOIN rc USING (group_id, anchor)
+     LEFT JOIN ml USING (group_id, anchor)
 GROUP BY n0.group_id
 """
 
 
 def group_metrics(spark, sf):
     sc = ranking.score_groups(group_items(spark, sf), size=GROUP)
-    q = ["group_id", "anchor"]
-    na = sc.filter(C("item") != C("anchor"))
-    m = (ranking.ndcg(na, q).withColumnRenamed("ndcg", "n0")
-         .join(ranking.ndcg(na, q, k=1).withColumnRenamed("ndcg", "n1"), q)
-         .join(ranking.ndcg(na, q, k=3).withColumnRenamed("ndcg", "n3"), q)
-         .join(ranking.mrr(na, q).withColumnRenamed("rr", "r"), q)
-         .join(ranking.mrr(na, q, compat=True).withColumnRenamed("rr", "rc"), q)
-         .join(ranking.margin_loss(sc, q, margin=0.5), q))
+    m = ranking.query_metrics(sc, ["group_id"], "anchor", ks=(None, 1, 3), margin=0.5)
     return m.groupBy("group_id").agg(
-        F.round(F.avg("n0"), 9).alias("ndcg"), F.round(F.avg("n1"), 9).alias("ndcg_at_1"),
-        F.round(F.avg("n3"), 9).alias("ndcg_at_3"), F.round(F.avg("r"), 9).alias("mrr"),
-        F.round(F.avg("rc"), 9).alias("mrr_compat"),
+        F.round(F.avg("ndcg"), 9).alias("ndcg"), F.round(F.avg("ndcg_1"), 9).alias("ndcg_at_1"),
+        F.round(F.avg("ndcg_3"), 9).alias("ndcg_at_3"), F.round(F.avg("rr"), 9).alias("mrr"),
+        F.round(F.avg("rr_compat"), 9).alias("mrr_compat"),
         F.round(F.sum("margin_loss"), 9).alias("margin_loss"))
 
 
@@ -243,34 +231,29 @@ def metric_means(spark, sf):
 
 
 # -- O-75 / O-51 / O-32 ----------------------------------------------------------------
-FEAT_DIMS = 16
-
-
 def group_feats(spark, sf):
-    e = emb(spark, sf).select(F.floor(C("vec_id") / GROUP).cast("bigint").alias("group_id"),
-                              (C("vec_id") % GROUP).cast("int").alias("pos"),
-                              V.binarise(F.slice(V.as_double("embedding"), 1, FEAT_DIMS), 0.0)
-                              .alias("feat"),
-                              V.unit(V.as_double("embedding")).alias("vec"))
-    full = e.groupBy("group_id").count().filter(C("count") == GROUP).select("group_id")
-    return e.join(full, "group_id", "left_semi")
+    return emb(spark, sf).select(F.floor(C("vec_id") / GROUP).cast("bigint").alias("group_id"),
+                                 (C("vec_id") % GROUP).cast("int").alias("pos"),
+                                 V.binarise(V.as_double("embedding"), 0.0).alias("feat"),
+                                 V.unit(V.as_double("embedding")).alias("vec"))
 
 
 JACC_SQL = f"""
 {GROUP_SQL.replace('{sqlx.vunit', '{sqlx.vunit')}
 , f AS (SELECT CAST(floor(vec_id / {GROUP}) AS BIGINT) AS group_id, CAST(vec_id % {GROUP} AS INTEGER) AS pos,
-              list_transform(embedding[1:{FEAT_DIMS}], lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS feat
-       FROM embeddings WHERE vec_id < (SELECT (max(group_id) + 1) * {GROUP} FROM gf)),
+              list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS feat
+       FROM embeddings),
 pw AS (SELECT a.group_id, a.pos AS i, b.pos AS j,
               CASE WHEN a.pos = b.pos THEN 0.0 ELSE
                 {sqlx.vdot('a.feat', 'b.feat')} / ({sqlx.vsum('a.feat')} + {sqlx.vsum('b.feat')}
                  - {sqlx.vdot('a.feat', 'b.feat')} + 1e-8) END AS w
        FROM f a JOIN f b USING (group_id)),
 kth AS (SELECT group_id, i, w AS kw FROM
-        (SELECT *, row_number() OVER (PARTITION BY group_id, i ORDER BY w DESC) AS rn FROM pw)
-        WHERE rn = 5),
-jw AS (SELECT group_id, i, j, CASE WHEN w >= kw THEN w ELSE 0.0 END AS weight
-       FROM pw JOIN kth USING (group_id, i))"""
+        (SELECT *, row_number() OVER (PARTITION BY group_id, i ORDER BY w DESC) AS rn,
+                count(*) OVER (PARTITION BY group_id, i) AS n FROM pw)
+        WHERE rn = least(5, n - 1)),
+jw AS (SELECT group_id, i, j, CASE WHEN w >= coalesce(kw, 0.0) THEN w ELSE 0.0 END AS weight
+       FROM pw LEFT JOIN kth USING (group_id, i))"""
 
 
 @register("jaccard_weights", ops=("O-75", "O-51", "O-32"), sql=f"""

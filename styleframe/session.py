@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
@@ -29,15 +30,19 @@ def _default_driver_memory() -> str:
 def get_session(master: str | None = None, app: str = "styleframe",
                 shuffle_partitions: int | None = None,
                 driver_memory: str | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings every job here assumes."""
+    """Build (or reuse) a session with the settings every job here assumes.
+
+    What the cluster or the caller has set stays: the values below are defaults
+    for settings that nobody set.  ``shuffle_partitions`` is an explicit
+    choice; without it a cluster's own value counts, and only a local master
+    gets one that fits its cores."""
     driver_memory = driver_memory or _default_driver_memory()
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    given = SparkConf()
     cores = os.cpu_count() or 8
-    parts = shuffle_partitions or max(8, cores)
     conf = {
-        "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -52,8 +57,13 @@ def get_session(master: str | None = None, app: str = "styleframe",
         "spark.driver.memory": driver_memory,
         "spark.sql.files.maxPartitionBytes": "128MB",
     }
+    if (master or given.get("spark.master", "local")).startswith("local"):
+        conf["spark.sql.shuffle.partitions"] = str(max(8, cores))
     for k, v in conf.items():
-        b = b.config(k, v)
+        if given.get(k, None) is None:
+            b = b.config(k, v)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
