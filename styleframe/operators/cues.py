@@ -34,6 +34,17 @@ SURFACE_CUES: tuple[tuple[str, str], ...] = (
      "(\\p{L})\\1\\1"),
     ("contains_laughter_token_هههه_هاها_lol",
      "(?i)(ههه|هاها|lol|haha)"),
+    ("contains_explicit_subject_tu", "(?i)(^|[^\\p{L}])tú([^\\p{L}]|$)"),
+    ("contains_explicit_subject_usted", "(?i)(^|[^\\p{L}])usted([^\\p{L}]|$)"),
+    ("contains_explicit_subject_vos", "(?i)(^|[^\\p{L}])vos([^\\p{L}]|$)"),
+    ("contains_explicit_subject_vosotros_or_vosotras", "(?i)(^|[^\\p{L}])vosotr[oa]s([^\\p{L}]|$)"),
+    ("contains_explicit_subject_ustedes", "(?i)(^|[^\\p{L}])ustedes([^\\p{L}]|$)"),
+    ("contains_2pl_present_suffix_ais", "(?i)\\p{L}áis([^\\p{L}]|$)"),
+    ("contains_2pl_present_suffix_eis", "(?i)\\p{L}éis([^\\p{L}]|$)"),
+    ("contains_diminutive_suffix_ito_or_ita", "(?i)\\p{L}{2,}it[oa]s?([^\\p{L}]|$)"),
+    ("contains_diminutive_suffix_illo_or_illa", "(?i)\\p{L}{2,}ill[oa]s?([^\\p{L}]|$)"),
+    ("contains_diminutive_suffix_ico_or_ica", "(?i)\\p{L}{2,}ic[oa]s?([^\\p{L}]|$)"),
+    ("contains_diminutive_suffix_ete", "(?i)\\p{L}{2,}etes?([^\\p{L}]|$)"),
 )
 # ---------------------------------------------------------------------------
 
@@ -148,11 +159,41 @@ def annotate(df: DataFrame, fn: Callable[[list[str]], list[list[float]]], key: S
 
 
 def load_feature_names(spark, path: str) -> list[str]:
-    """A feature list file is a JSON array of names (small, read on the driver)."""
-    with open(path, encoding="utf-8") as f:
-        names = json.load(f)
-    return [str(n) for n in names]
+    """A feature list file is a JSON array of names (a configuration file, read through Spark)."""
+    text = spark.read.text(path, wholetext=True).first()
+    return [str(n) for n in json.loads(text[0])] if text else []
+
+
+def annotate_text(df: DataFrame, fn: Callable[[list[str]], list[str | None]], key: Sequence[str],
+                  text: str = "request", out: str = "answer", batch: int = 50, tries: int = 3,
+                  backoff: float = 1.0) -> DataFrame:
+    """(key..., out): text answers of a user annotator, asked in batches inside tasks.
+
+    A batch that still fails after ``tries`` attempts (doubling wait), and every
+    null answer, drops its rows: the result holds answered rows only."""
+    key = list(key)
+    schema = T.StructType([*[df.schema[k] for k in key], T.StructField(out, T.StringType())])
+
+    def run(it):
+        for pdf in it:
+            for start in range(0, len(pdf), batch):
+                part = pdf.iloc[start:start + batch]
+                texts = part[text].fillna("").tolist()
+                for attempt in range(tries):
+                    try:
+                        got = fn(texts)
+                        if len(got) != len(texts):
+                            raise ValueError("annotator returned a wrong count")
+                        rows = part[key].copy()
+                        rows[out] = got
+                        yield rows[[x is not None for x in got]]
+                        break
+                    except Exception:
+                        if attempt + 1 < tries:
+                            time.sleep(backoff * (2 ** attempt))
+
+    return df.select(*key, text).mapInPandas(run, schema)
 
 
 __all__ = ["SURFACE_CUES", "surface_cues", "parse_features", "pending", "attach",
-           "annotate", "load_feature_names", "cue_columns"]
+           "annotate", "annotate_text", "load_feature_names", "cue_columns"]

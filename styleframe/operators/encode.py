@@ -35,23 +35,14 @@ def encode_texts(df: DataFrame, fn: Callable[[list[str]], np.ndarray], key: Sequ
     return df.select(*key, text).mapInPandas(run, schema)
 
 
-def hashed_trigram_encoder(dim: int = 32):
-    """A small deterministic stand-in encoder: L2-normalised counts of hashed
-    character trigrams (md5 of the trigram, stable across processes)."""
-    import hashlib
-
+def letter_encoder(letters: str):
+    """A small deterministic stand-in encoder: L2-normalised counts of the given letters (lower-cased
+    text), counted by ``str.count``."""
     def fn(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for i, t in enumerate(texts):
-            t = t.lower()
-            for j in range(max(len(t) - 2, 0)):
-                h = int(hashlib.md5(t[j:j + 3].encode()).hexdigest()[:8], 16)
-                out[i, h % dim] += 1.0
-            n = np.linalg.norm(out[i])
-            if n > 0:
-                out[i] /= n
-        return out
+        low = [t.lower() for t in texts]
+        out = np.array([[t.count(x) for x in letters] for t in low], dtype=np.float64).reshape(len(texts), len(letters))
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
     return fn
 
 
-__all__ = ["encode_texts", "hashed_trigram_encoder"]
+__all__ = ["encode_texts", "letter_encoder"]

@@ -3,14 +3,16 @@ templates, answer guards, conversation assembly and aligned-corpus joins."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from styleframe.functions import keyed
 from styleframe.functions.text import ARABIC_RANGES, WS, is_script, strip_wrapping_quotes
+from styleframe.operators import cues
 from styleframe.operators.hierarchy import line_numbers
 
 # --- fixed values: dialect labels -> country codes (dataset vocabularies) ---
@@ -103,6 +105,27 @@ BITEXT_PREFIXES_MSA_TO_DA = (
     "اعد كتابتها باللهجة: ",
 )
 DROP_DIALECTS = ("", "unknown", "msa")
+
+QUESTION_WORDS = {
+    "egy": ("إيه", "ايه", "يعني إيه", "ممكن أعرف", "إيه رأيك", "ايه معنى"),
+    "mar": ("شنو", "كيفاش", "شنو كتعني", "واش", "فين", "علاش"),
+    "pse": ("شو", "ايش", "كيف", "احكيلي", "شو يعني", "ايش معنى"),
+    "sau": ("وش", "ايش", "وشو", "كيف", "ايش هي", "ايش معنى"),
+    "syr": ("شو", "كيف", "شو هي", "فيك تقلي", "احكي", "بدي تعطيني"),
+    "jor": ("شو", "كيف", "ايش", "احكيلي", "شو يعني", "وين"),
+}
+DEFAULT_QUESTION_WORDS = ("شو", "ايش", "كيف")
+
+QUESTION_TOPICS = (
+    "food, recipes, or traditional dishes from the region",
+    "local proverbs, sayings, or their meanings",
+    "cultural traditions, celebrations, or customs",
+    "geography, cities, or landmarks",
+    "history, historical figures, or events",
+    "local dialect words or expressions and their meanings",
+    "nature, animals, or agriculture in the region",
+    "arts, music, or literature",
+)
 # -----------------------------------------------------------------------------
 
 SAMPLE_SCHEMA = T.StructType([
@@ -267,3 +290,58 @@ def union_loaders(frames: Sequence[DataFrame]) -> DataFrame:
     for f in frames:
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def run_loaders(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """Union of the loaders that work, and a report: loader -> '' or what its failure said.
+
+    A loader fails when its input cannot be resolved (missing path, unreadable header); it is
+    reported and left out, and the others go on."""
+    frames, report = [], {}
+    for name, load in loaders.items():
+        try:
+            frames.append(load())
+            report[name] = ""
+        except (AnalysisException, PySparkException, OSError, ValueError) as e:
+            report[name] = str(e).splitlines()[0][:300]
+    return union_loaders(frames) if frames else spark.createDataFrame([], SAMPLE_SCHEMA), report
+
+
+def question_requests(df: DataFrame, key: Sequence[str], seed: int = 42, text: str = "text", dialect: str = "dialect",
+                      out: str = "request") -> DataFrame:
+    """Monolingual rows with the request that asks an annotator for a question which the text answers:
+    the dialect's name and question words, and a topic drawn by key."""
+    topics = F.array(*[F.lit(t) for t in QUESTION_TOPICS])
+    topic = F.element_at(topics, (F.floor(keyed.uniform(seed, F.lit("topic"), *key) * len(QUESTION_TOPICS)) + 1).cast("int"))
+    table = F.create_map(*[F.lit(x) for k, v in QUESTION_WORDS.items() for x in (k, ", ".join(v))])
+    asked = F.coalesce(F.element_at(table, F.col(dialect)), F.lit(", ".join(DEFAULT_QUESTION_WORDS)))
+    name = display_name(F.col(dialect))
+    request = F.concat(F.lit("Ask one short question in "), name, F.lit(" (not Modern Standard Arabic) about "), topic,
+                       F.lit(" to which the text below is a natural answer. Use question words like "), asked,
+                       F.lit(". Give the question only and do not repeat the text.\n\nText:\n"), F.col(text))
+    return df.filter(F.col("type") == "monolingual").withColumn(out, request)
+
+
+def answer_requests(df: DataFrame, instruction: str = "instruction", text: str = "text", dialect: str = "dialect",
+                    out: str = "request") -> DataFrame:
+    """The request for a full answer to a generated question that uses the corpus text."""
+    name = display_name(F.col(dialect))
+    request = F.concat(F.lit("Answer in "), name, F.lit(" only, in three to six sentences, the question: "), F.col(instruction),
+                       F.lit("\nUse this phrase in the answer: "), F.col(text))
+    return df.withColumn(out, request)
+
+
+def monolingual_instructions(df: DataFrame, annotator: Callable[[list[str]], list[str | None]], key: Sequence[str],
+                             seed: int = 42) -> DataFrame:
+    """(key..., prompt, ground_truth, dialect, source, type): question and answer asked one after the
+    other of a text annotator.  A row whose question or answer request fails, or whose question is too
+    short, is dropped; a too short answer is replaced by the text."""
+    key = list(key)
+    rows = question_requests(df, key, seed)
+    asked = cues.annotate_text(rows, annotator, key, "request", "instruction")
+    rows = answer_requests(rows.drop("request").join(asked, key))
+    rows = rows.join(cues.annotate_text(rows, annotator, key, "request", "answer"), key)
+    ok = guard_answer(rows)
+    prompt = F.array(F.struct(F.lit("user").alias("role"), F.col("instruction").alias("content")))
+    return ok.select(*key, prompt.alias("prompt"), F.col("answer").alias("ground_truth"),
+                     *[c for c in ("dialect", "source", "type") if c not in key])

@@ -99,37 +99,148 @@ def feature_probe(spark, sf):
     return vectors.bce(g, "logits", "targets")
 
 
-# -- O-113 / O-122 / O-123 --------------------------------------------------------------------------
-@register("encoder_export", ops=("O-113", "O-122", "O-123"))
+# -- O-113 / O-122 --------------------------------------------------------------------------
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@register("encoder_export", ops=("O-113", "O-122"), sql=f"""
+WITH c AS (SELECT doc_id, list_transform(range(0, 26), lambda i:
+             (length(lower(text)) - length(replace(lower(text), substr('{_LETTERS}', i + 1, 1), '')))::DOUBLE) AS n FROM documents),
+u AS (SELECT doc_id, n, greatest(sqrt(list_reduce(list_transform(n, lambda x: x * x), lambda x, y: x + y)), 1e-12) AS s FROM c)
+SELECT doc_id, 26 AS dim, round(n[1] / s, 9) AS first_value, round(n[5] / s, 9) AS e_value,
+       round(list_reduce(list_transform(n, lambda x, i: x / s * i), lambda x, y: x + y), 6) AS weighted, md5(text) AS text_md5
+FROM u JOIN documents USING (doc_id)
+""")
 def encoder_export(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", "text")
-    v = encode.encode_texts(b, encode.hashed_trigram_encoder(32), ["item_id"], "text", batch=64)
-    out = v.join(b, "item_id").select(C("item_id").alias("idx"), F.array(F.lit("benchmark")).alias("tags"),
-                                      C("text").alias("sentence"), C("vec").alias("txt_out"),
-                                      C("vec").alias("raw_out"))
-    vp, rp = scratch_path(spark, "vectors"), scratch_path(spark, "report")
-    sinks.write_vectors(out, vp)
-    back = spark.read.parquet(vp)
-    rep = vectors.centroid(back, "txt_out").select(F.size("mean").alias("dim"), "n")
-    sinks.write_report(rep, rp)
-    return spark.read.json(rp)
-
-
-# -- O-01 / O-02 (long-window zst dump written by Spark tasks, read back) --------------------------------
-@register("dump_roundtrip", ops=("O-01", "O-02"), sql="""
-SELECT source AS author, count(*) AS n_comments FROM documents
-WHERE text NOT IN ('[deleted]', '[removed]') AND length(text) >= 10
-GROUP BY source
+    """Every document through a user encoder in batches, exported as vectors and read back."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    v = encode.encode_texts(d, encode.letter_encoder(_LETTERS), ["doc_id"], "text", batch=64)
+    out = v.join(d, "doc_id").select(C("doc_id").alias("idx"), F.array("lang").alias("tags"), C("text").alias("sentence"),
+                                     C("vec").alias("txt_out"), C("vec").alias("raw_out"))
+    path = scratch_path(spark, "vectors")
+    sinks.write_vectors(out, path)
+    back = spark.read.parquet(path)
+    weighted = V.vsum(F.transform("raw_out", lambda x, i: x * (i + 1)))
+    return back.select(C("idx").alias("doc_id"), F.size("txt_out").alias("dim"), F.round(C("txt_out")[0], 9).alias("first_value"),
+                       F.round(C("txt_out")[4], 9).alias("e_value"), F.round(weighted, 6).alias("weighted"), F.md5("sentence").alias("text_md5"))
+
+
+# -- O-123: results, history, run config and label map ----------------------------------------
+@register("run_report", ops=("O-123", "O-58"), sql="""
+SELECT 'results' AS part, 'c' || label AS name, round(avg(vec_id), 6) AS value FROM embeddings GROUP BY label
+UNION ALL SELECT 'history', event_type, round(avg(value), 6) FROM events GROUP BY event_type
+UNION ALL SELECT 'config', n, v FROM (VALUES ('patience', 3.0), ('temperature', 10.0)) t(n, v)
+UNION ALL SELECT 'label_map', 'c' || label, (dense_rank() OVER (ORDER BY 'c' || label) - 1)::DOUBLE
+          FROM (SELECT DISTINCT label FROM embeddings)
+""")
+def run_report(spark, sf):
+    from styleframe.operators import classify
+    e = table(spark, sf, "embeddings").withColumn("name", F.concat(F.lit("c"), C("label").cast("string")))
+    results = e.groupBy("name").agg(F.round(F.avg("vec_id"), 6).alias("value"))
+    history = table(spark, sf, "events").groupBy(C("event_type").alias("name")).agg(F.round(F.avg("value"), 6).alias("value"))
+    labels = classify.label_map(e.select(F.array("name").alias("tags")), "tags")
+    path = scratch_path(spark, "run")
+    sinks.write_run(path, results, history, {"patience": 3.0, "temperature": 10.0}, labels)
+    shapes = {"results": "name string, value double", "history": "name string, value double",
+              "config": "name string, value string", "label_map": "label string, idx int"}
+    out = None
+    for part, schema in shapes.items():
+        back = spark.read.schema(schema).json(f"{path}/{part}").toDF("name", "value")
+        back = back.select(F.lit(part).alias("part"), "name", C("value").cast("double").alias("value"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+# -- O-01 / O-02 / O-36 (long-window zst dump written by Spark tasks, read back) -----------------
+@register("dump_roundtrip", ops=("O-01", "O-02", "O-36"), sql="""
+SELECT lang AS subreddit, source AS author, count(*) AS n_comments,
+       CAST(sum(('0x' || substr(md5(text), 1, 8))::BIGINT) AS BIGINT) AS text_sum
+FROM documents WHERE text NOT IN ('[deleted]', '[removed]') AND length(text) >= 10
+GROUP BY lang, source
 """)
 def dump_roundtrip(spark, sf):
     d = table(spark, sf, "documents").select(C("source").alias("author"), C("text").alias("body"),
                                              C("doc_id").cast("string").alias("id"),
-                                             C("lang").alias("subreddit"))
+                                             F.concat(F.upper("lang"), F.lit("_comments")).alias("dump"))
     path = scratch_path(spark, "dump")
-    sinks.write_zst_json_lines(d.repartition(4), path).collect()   # 4 small (file, rows) rows
+    sinks.write_zst_json_lines(d, path, dump="dump")
     lines = dumps.read_dump(spark, path, long_window=True)
     c = corpus.drop_removed(dumps.parse_comments(lines), "body", "author", 10)
-    return c.groupBy("author").agg(F.count(F.lit(1)).alias("n_comments"))
+    digest = F.conv(F.substring(F.md5("body"), 1, 8), 16, 10).cast("bigint")
+    return c.groupBy(dumps.subreddit_of("file").alias("subreddit"), "author").agg(
+        F.count(F.lit(1)).alias("n_comments"), F.sum(digest).alias("text_sum"))
+
+
+# -- O-14: per-city files ------------------------------------------------------------------------
+@register("city_files", ops=("O-14", "O-48"), sql=f"""
+WITH t AS (SELECT lang, doc_id, regexp_replace(replace(replace(translate(text, chr(9) || chr(10), '  '), chr(13), ''), chr(11), ' '),
+                                              '^{WS}+|{WS}+$', '', 'g') AS t FROM documents),
+l AS (SELECT lang, t, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS n FROM t WHERE length(t) > 0),
+s AS (SELECT * FROM l WHERE lang IN ('fr', 'es')),
+j AS (SELECT s.lang, s.t, coalesce(nullif(e.t, ''), nullif(m.t, '')) AS side FROM s
+      LEFT JOIN l e ON e.lang = 'en' AND e.n = s.n LEFT JOIN l m ON m.lang = 'de' AND m.n = s.n)
+SELECT CASE lang WHEN 'fr' THEN 'CAI' ELSE 'AMM' END AS city, CASE lang WHEN 'fr' THEN 'egy' ELSE 'jor' END AS dialect,
+       CASE WHEN side IS NULL THEN 'monolingual' ELSE 'bitext' END AS type, count(*) AS n,
+       CAST(sum(('0x' || substr(md5(t || '|' || coalesce(side, '')), 1, 8))::BIGINT) AS BIGINT) AS text_sum
+FROM j WHERE length(t) >= 5 GROUP BY ALL
+""")
+def city_files(spark, sf):
+    """Documents of four languages as the English, MSA and two cities' files, aligned by line."""
+    from styleframe.functions.text import tsv_safe
+    from styleframe.operators.hierarchy import line_numbers
+    names = {"en": "English", "de": "MSA", "fr": "CAI", "es": "AMM"}
+    d = table(spark, sf, "documents").filter(C("lang").isin(*names))
+    t = F.regexp_replace(F.translate(tsv_safe(C("text")), "\x0b", " "), f"^{WS}+|{WS}+$", "")
+    d = line_numbers(d.select("lang", "doc_id", t.alias("t")).filter(F.char_length("t") > 0), ["lang"], ["doc_id"])
+    root = scratch_path(spark, "cities")
+    for lang, name in names.items():  # a file is a city: its lines keep their order in one text file
+        one = d.filter(C("lang") == lang).orderBy("line_no").select(F.concat_ws("\t", C("line_no").cast("string"), "t").alias("value"))
+        corpora.write_single_file(one, f"{root}/MADAR.corpus.{name}.tsv")
+    s = corpora.load_city_files(spark, root)
+    digest = F.md5(F.concat(C("text"), F.lit("|"), F.coalesce("english", F.lit(""))))
+    return s.groupBy("city", "dialect", "type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")).alias("text_sum"))
+
+
+# -- O-35 (text form) / O-28 / O-29: instructions for monolingual rows --------------------------------
+def echo_annotator(texts):
+    """Deterministic stand-in for a remote annotator: the last line of the request, none for a long one."""
+    return [None if len(t) > 3000 else ("q: " + t.rsplit("\n", 1)[-1][:60] if t.startswith("Ask") else "an answer with " + t.rsplit(": ", 1)[-1][:40])
+            for t in texts]
+
+
+@register("monolingual_instructions", ops=("O-35", "O-29", "O-33"), sql="""
+SELECT dialect, count(*) AS n FROM (
+  SELECT doc_id, lang AS dialect, text FROM documents WHERE length(text) BETWEEN 20 AND 1000)
+GROUP BY dialect
+""")
+def monolingual_instructions(spark, sf):
+    d = table(spark, sf, "documents").filter(F.char_length("text").between(20, 1000)).select(
+        "doc_id", "text", C("lang").alias("dialect"), "source", F.lit("monolingual").alias("type"))
+    out = instruct.monolingual_instructions(d, echo_annotator, ["doc_id"])
+    return out.filter(C("prompt")[0]["content"].startswith("q: ")).groupBy("dialect").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- O-19: closed-set JSONL and its labels ---------------------------------------------------------------
+@register("closed_set_roundtrip", ops=("O-19", "O-59"), sql="""
+SELECT quality AS label, count(*) AS n, CAST(sum(('0x' || substr(md5(text), 1, 8))::BIGINT) AS BIGINT) AS text_sum,
+       quality AS y, CAST(sum(CASE WHEN lang = 'en' THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END) AS BIGINT) AS lang_sum
+FROM documents JOIN labels USING (doc_id) GROUP BY quality
+""")
+def closed_set_roundtrip(spark, sf):
+    from styleframe.operators import classify
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    path = scratch_path(spark, "closed-set")
+    d.select("text", C("quality").alias("label")).write.mode("overwrite").json(path)
+    back = entries.read_closed_set(spark, path)
+    labels = classify.label_map(back.select(F.array(C("label").cast("string")).alias("tags")), "tags")
+    back = classify.encode_labels(back.withColumn("tags", F.array(C("label").cast("string"))), labels, "tags")
+    # languages beyond the two known ones are unseen labels: class K
+    known = spark.createDataFrame([("en", 0), ("fr", 1)], "label string, idx int")
+    seen = classify.encode_labels(d.select("quality", F.array("lang").alias("tags")), known, "tags", out="ly")
+    seen = seen.groupBy(C("quality").alias("label")).agg(F.sum("ly").alias("lang_sum"))
+    digest = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint")
+    return back.groupBy("label", "y").agg(F.count(F.lit(1)).alias("n"), F.sum(digest).alias("text_sum")).join(seen, "label")
 
 
 # -- O-09 -------------------------------------------------------------------------------------------------
@@ -138,6 +249,7 @@ WITH l AS (SELECT lang, source, unnest(string_split(regexp_replace(text, chr(13)
            FROM documents),
 k AS (SELECT lang, source FROM l WHERE regexp_replace(line, '^{WS}+|{WS}+$', '', 'g') <> '')
 SELECT lang AS problem, CASE WHEN source IN ('src0', 'src1') THEN 'eval' ELSE 'train' END AS part,
+       CASE WHEN source = 'src0' THEN 'true of ' || lang WHEN source = 'src1' THEN 'unknown' ELSE source END AS author,
        count(*) AS n_lines
 FROM k GROUP BY ALL
 """)
@@ -146,14 +258,24 @@ def pan_roundtrip(spark, sf):
     folder = F.when(C("source").isin("src0", "src1"), F.concat(F.lit("unknown_"), C("source"))) \
         .otherwise(C("source"))
     root = scratch_path(spark, "pan")
-    d.select(C("lang").alias("problem"), folder.alias("folder"), "text").write.mode("overwrite") \
-        .partitionBy("problem", "folder").text(root)
+    rows = d.select(C("lang").alias("problem"), folder.alias("folder"), "text")
+    # two writes: truth names a text by its file name, and one write uses a name in several folders
+    for part in (C("folder") != "unknown_src1", C("folder") == "unknown_src1"):
+        rows.filter(part).write.mode("append").partitionBy("problem", "folder").text(root)
+    # truth for the texts of one folder of each problem, an outdated entry first
+    names = spark.read.option("recursiveFileLookup", "true").text(root).select(F.col("_metadata.file_path").alias("p")).distinct()
+    names = names.filter(C("p").contains("unknown_src0")).select(
+        F.regexp_extract("p", "problem=([^/]*)", 1).alias("problem"), F.element_at(F.split("p", "/"), -1).alias("file"))
+    both = F.array(*[F.struct(C("file").alias("unknown-text"), a.alias("true-author"))
+                     for a in (F.lit("outdated"), F.concat(F.lit("true of "), C("problem")))])
+    truth = names.groupBy("problem").agg(F.flatten(F.collect_list(both)).alias("ground_truth"))
+    for r in truth.select("problem", F.to_json(F.struct("ground_truth")).alias("value")).collect():  # one short row per problem
+        corpora.write_single_file(spark.createDataFrame([(r["value"],)], "value string"), f"{root}/problem={r['problem']}/ground-truth.json")
     train, ev = entries.read_pan(spark, root)
-    t = train.select(F.regexp_replace(F.element_at("tags", 1), "^problem=", "").alias("problem"),
-                     F.lit("train").alias("part"))
-    e = ev.select(F.regexp_replace(F.element_at("tags", 1), "^problem=", "").alias("problem"),
-                  F.lit("eval").alias("part"))
-    return t.unionByName(e).groupBy("problem", "part").agg(F.count(F.lit(1)).alias("n_lines"))
+    problem = F.regexp_replace(F.element_at("tags", 1), "^problem=", "").alias("problem")
+    t = train.select(problem, F.lit("train").alias("part"), F.regexp_replace(F.element_at("tags", 2), "^folder=", "").alias("author"))
+    e = ev.select(problem, F.lit("eval").alias("part"), F.element_at("tags", 2).alias("author"))
+    return t.unionByName(e).groupBy("problem", "part", "author").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 # -- O-12 / O-18 ------------------------------------------------------------------------------------------

@@ -42,12 +42,12 @@ def author_map_roundtrip(spark, sf):
 # -- O-119 / O-120 / O-04 ------------------------------------------------------------
 @register("hierarchy_roundtrip", ops=("O-119", "O-120", "O-04"), sql=f"""
 WITH {sqlx.sentences_cte()},
-{sqlx.user_splits_cte(**SPLIT_ARGS)},
-per_user AS (SELECT lang, source, count(DISTINCT doc_id) AS n_comments, count(*) AS n_sentences
-             FROM sent GROUP BY lang, source)
-SELECT split, lang AS dialect, CAST(sum(n_comments) AS BIGINT) AS n_comments,
-       CAST(sum(n_sentences) AS BIGINT) AS n_sentences
-FROM per_user JOIN splits USING (lang, source) GROUP BY split, lang
+{sqlx.user_splits_cte(**SPLIT_ARGS)}
+SELECT split, lang AS dialect, count(DISTINCT doc_id) AS n_comments, count(*) AS n_sentences,
+       CAST(sum(('0x' || substr(md5(sentence), 1, 8))::BIGINT) AS BIGINT) AS text_sum,
+       CAST(sum(CASE WHEN contains(sentence, '?') THEN 1 ELSE 0 END) AS DOUBLE) AS n_question,
+       CAST(sum(CASE WHEN regexp_matches(sentence, '[!?؟.,]{{2,}}') THEN 1 ELSE 0 END) AS DOUBLE) AS n_repeated
+FROM sent JOIN splits USING (lang, source) GROUP BY split, lang
 """)
 def hierarchy_roundtrip(spark, sf):
     c = comments(spark, sf)
@@ -58,16 +58,22 @@ def hierarchy_roundtrip(spark, sf):
     path = scratch_path(spark, "hierarchy")
     sinks.write_hierarchy(rows, path, split="split")
     back = entries.read_hierarchy(spark, path)
+    names = [n for n, _ in cues.SURFACE_CUES]
+    at = {k: names.index(n) for k, n in (("n_question", "contains_question_mark_?"), ("n_repeated", "contains_repeated_punctuation"))}
+    digest = F.conv(F.substring(F.md5(F.array_join("text", " ")), 1, 8), 16, 10).cast("bigint")
     return back.groupBy("split", "dialect").agg(
-        F.count_distinct("user", "comment").alias("n_comments"),
-        F.count(F.lit(1)).alias("n_sentences"))
+        F.count_distinct("user", "comment").alias("n_comments"), F.count(F.lit(1)).alias("n_sentences"),
+        F.sum(digest).alias("text_sum"), *[F.sum(C("feature")[i]).alias(k) for k, i in at.items()])
 
 
 # -- O-121 / O-05 / O-06 / O-08 ---------------------------------------------------------
 @register("entries_roundtrip", ops=("O-121", "O-05", "O-06", "O-08"), sql=f"""
 WITH {sqlx.sentences_cte()}
-SELECT lang AS first_tag, count(*) AS n_json, count(*) AS n_tsv, count(*) AS n_tsv_single
-FROM sent GROUP BY lang
+, d AS (SELECT lang, ('0x' || substr(md5(sentence || '|' || source || '|line_' || sent_idx), 1, 8))::BIGINT AS j,
+     ('0x' || substr(md5(sentence || '|' || source), 1, 8))::BIGINT AS t FROM sent)
+SELECT lang AS first_tag, count(*) AS n_json, CAST(sum(j) AS BIGINT) AS json_sum, count(*) AS n_tsv,
+       CAST(sum(t) AS BIGINT) AS tsv_sum, count(*) AS n_tsv_single
+FROM d GROUP BY lang
 """)
 def entries_roundtrip(spark, sf):
     from styleframe.plans.corpus_q import sentences
@@ -76,10 +82,14 @@ def entries_roundtrip(spark, sf):
     sinks.write_entries(e, p_json)
     e.select(F.concat(tsv_safe(C("sentence")), F.lit("\t"), F.array_join(F.slice("tags", 1, 2), ",")))\
         .write.mode("overwrite").text(p_tsv)
-    j = entries.read_entries(spark, p_json).groupBy(F.element_at("tags", 1).alias("first_tag")) \
-        .agg(F.count(F.lit(1)).alias("n_json"))
-    t = entries.read_labelled_tsv(spark, p_tsv, multi=True) \
-        .groupBy(F.element_at("tags", 1).alias("first_tag")).agg(F.count(F.lit(1)).alias("n_tsv"))
+    def digest(*parts):
+        return F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint"))
+
+    tag = lambda i: F.element_at("tags", i)
+    j = entries.read_entries(spark, p_json).groupBy(tag(1).alias("first_tag")) \
+        .agg(F.count(F.lit(1)).alias("n_json"), digest(C("sentence"), tag(2), tag(3)).alias("json_sum"))
+    t = entries.read_labelled_tsv(spark, p_tsv, multi=True).groupBy(tag(1).alias("first_tag")) \
+        .agg(F.count(F.lit(1)).alias("n_tsv"), digest(C("sentence"), tag(2)).alias("tsv_sum"))
     s = entries.read_labelled_tsv(spark, p_tsv, multi=False) \
         .groupBy(F.element_at(F.split(F.element_at("tags", 1), ","), 1).alias("first_tag")) \
         .agg(F.count(F.lit(1)).alias("n_tsv_single"))
@@ -89,13 +99,16 @@ def entries_roundtrip(spark, sf):
 # -- O-79 / O-19 / O-80 / O-33 / O-95 --------------------------------------------------------
 @register("instructions_roundtrip", ops=("O-79", "O-19", "O-80", "O-33", "O-95"), sql=f"""
 WITH c AS (SELECT conv_id, turn, role, text,
-                  lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr FROM conversations),
-p AS (SELECT conv_id, turn FROM c WHERE role = 'user' AND nr = 'assistant'),
+                  lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
+                  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations),
+p AS (SELECT conv_id, turn, text, nt FROM c WHERE role = 'user' AND nr = 'assistant'),
 n AS (SELECT count(*) AS n FROM p),
-r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY {sqlx.digest(42, 'conv_id', 'turn')}, conv_id, turn) AS rk
+r AS (SELECT conv_id, turn, text, nt, row_number() OVER (ORDER BY {sqlx.digest(42, 'conv_id', 'turn')}, conv_id, turn) AS rk
       FROM p)
 SELECT CASE WHEN rk <= floor(n * {1.0 - 0.02!r}) THEN 'train' ELSE 'val' END AS split,
-       count(*) AS n_rows, CAST(count(*) * 2 AS BIGINT) AS n_messages
+       count(*) AS n_rows, CAST(count(*) * 2 AS BIGINT) AS n_messages,
+       CAST(sum(('0x' || substr(md5(text || '|' || nt), 1, 8))::BIGINT) AS BIGINT) AS text_sum,
+       CASE WHEN any_value(rk <= floor(n * {1.0 - 0.02!r})) THEN count(*) ELSE 0 END AS n_two_column
 FROM r, n GROUP BY ALL
 """)
 def instructions_roundtrip(spark, sf):
@@ -113,8 +126,14 @@ def instructions_roundtrip(spark, sf):
     tr = entries.read_instructions(spark, f"{path}/train").withColumn("split", F.lit("train"))
     va = entries.read_instructions(spark, f"{path}/val").withColumn("split", F.lit("val"))
     m = instruct.to_messages(tr.unionByName(va))
-    return m.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
-                                  F.sum(F.size("messages")).cast("bigint").alias("n_messages"))
+    digest = F.md5(F.concat_ws("|", C("messages")[0]["content"], C("messages")[1]["content"]))
+    out = m.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("messages")).cast("bigint").alias("n_messages"),
+                                 F.sum(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")).alias("text_sum"))
+    # the two-column projection holds the train rows again
+    pairs = entries.read_instructions(spark, f"{path}/train_trl").select("prompt", "ground_truth") \
+        .join(tr.select("prompt", "ground_truth").distinct(), ["prompt", "ground_truth"], "left_semi")
+    return out.crossJoin(pairs.agg(F.count(F.lit(1)).alias("_n"))).withColumn(
+        "n_two_column", F.when(C("split") == "train", C("_n")).otherwise(0)).drop("_n")
 
 
 # -- O-20 / O-124 / O-31 -----------------------------------------------------------------------

@@ -49,7 +49,7 @@ SELECT CAST(dim AS INTEGER) AS dim, round(avg(x), 9) AS mean, count(*) AS n FROM
 def stream_centroid(spark, sf):
     out, ck = inc.scratch_pair(spark, "stream-centroid")
     inc.run_stateful(_stream(spark, sf, "embeddings"), inc.running_centroid, out, ck)
-    r = spark.read.parquet(out)
+    r = inc.latest(spark, out, ["dim"])
     return r.select("dim", F.round("mean", 9).alias("mean"), "n")
 
 
@@ -61,7 +61,7 @@ def stream_counts(spark, sf):
     out, ck = inc.scratch_pair(spark, "stream-counts")
     inc.run_stateful(_stream(spark, sf, "documents"),
                      lambda s: inc.running_counts(s, ["lang", "source"]), out, ck)
-    return spark.read.parquet(out)
+    return inc.latest(spark, out, ["lang", "source"])
 
 
 # -- O-117: keyed, idempotent progress output --------------------------------------------------

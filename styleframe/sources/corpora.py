@@ -7,6 +7,7 @@ Column aliases are resolved once on the driver from the header (a static plan).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,8 +40,9 @@ def conform(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _csv(spark, path, sep=",", header=True):
-    return (spark.read.option("header", header).option("sep", sep).option("multiLine", True)
+def _csv(spark, path, sep=",", header=True, multi_line: bool = True):
+    """``multi_line``: quoted fields may hold newlines (such a file is one split); without, files split."""
+    return (spark.read.option("header", header).option("sep", sep).option("multiLine", multi_line)
             .option("escape", '"').csv(path))
 
 
@@ -87,6 +89,20 @@ def load_fallback(df: DataFrame, dialect: str = "mar", source: str = "atlaset")
                               F.when(bit, C("_en")).alias("english")))
 
 
+def write_single_file(df: DataFrame, path: str) -> None:
+    """One text file at exactly ``path`` (a foreign layout that names its files: a city, a truth file),
+    written in the order of ``df`` through Spark and renamed by its own file system."""
+    spark = df.sparkSession
+    folder = f"{path}.tmp"
+    df.coalesce(1).write.mode("overwrite").text(folder)
+    jvm = spark.sparkContext._jvm
+    src = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-"))
+    fs.rename(part, jvm.org.apache.hadoop.fs.Path(path))
+    fs.delete(src, True)
+
+
 def load_city_files(spark: SparkSession, path: str, source: str = "madar",
                     skip_parts: Sequence[str] = ("MADAR", "corpus", "tsv", "train", "dev", "test")
                     ) -> DataFrame:
@@ -114,9 +130,9 @@ def load_city_files(spark: SparkSession, path: str, source: str = "madar",
     f = f.withColumn("dialect", F.when(code.isNull() | (code == "msa"), F.lit("msa")).otherwise(code))
     low = F.lower(C("city"))
     en = f.filter(low.isin("english", "english.index")).select("line_no", C("text").alias("_en"))
-    msa = f.filter((C("dialect") == "msa") & ~low.isin("english", "english.index")) \
-        .select("line_no", C("text").alias("_msa"))
-    msa = msa.groupBy("line_no").agg(F.max("_msa").alias("_msa"))
+    # of several files that count as MSA, the last one (by path) is used, whole
+    msa = f.filter((C("dialect") == "msa") & ~low.isin("english", "english.index"))
+    msa = msa.join(msa.agg(F.max("_fp").alias("_fp")), "_fp", "left_semi").select("line_no", C("text").alias("_msa"))
     s = f.filter((C("dialect") != "msa") & ~low.isin("english", "english.index", "french", "french.index")
                  & (F.char_length("text") >= 5))
     j = s.join(en, "line_no", "left").join(msa, "line_no", "left")
@@ -151,13 +167,25 @@ HEADER_NAMES = ("dialect", "text", "label", "sentence", "country", "id")
 
 
 def load_sniffed_tsv(spark: SparkSession, path: str, source: str = "masc") -> DataFrame:
-    """Header iff the first line holds a known name (one ``head(1)`` per file
-    set, on the driver); with a header: text/sentence/lyrics and
-    country/dialect/label columns, exact-then-lower lookup, default 'unknown';
-    without: first field is the label (lower-cased), last field the text."""
-    first = spark.read.text(path).head(1)
-    head = first[0][0].strip().split("\t") if first else []
-    has_header = any(h.lower() in HEADER_NAMES for h in head)
+    """Per file: header iff the first line holds a known name; with a header:
+    text/sentence/lyrics and country/dialect/label columns, exact-then-lower
+    lookup, default 'unknown'; without: first field is the label (lower-cased),
+    last field the text.  Files with equal first lines are read together."""
+    raw = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    first = (raw.select("value", F.col("_metadata.file_path").alias("f"), place.alias("p")).filter("p.b = 0")
+             .groupBy("f").agg(F.min_by("value", "p").alias("head")).collect())  # one short row per file
+    groups: dict[str | None, list[str]] = {}
+    for r in first:
+        known = any(h.lower() in HEADER_NAMES for h in r["head"].strip().split("\t"))
+        groups.setdefault(r["head"] if known else None, []).append(r["f"])
+    if not groups:
+        return conform(spark.createDataFrame([], SAMPLE_SCHEMA))
+    parts = [_sniffed_tsv(spark, files, head is not None, source) for head, files in sorted(groups.items(), key=lambda g: g[0] or "")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _sniffed_tsv(spark: SparkSession, path, has_header: bool, source: str) -> DataFrame:
     if has_header:
         df = _csv(spark, path, sep="\t")
         tcols = [k for k in ("Text", "text", "Sentence", "sentence", "Lyrics", "lyrics") if k in df.columns]

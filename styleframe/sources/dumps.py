@@ -2,16 +2,14 @@
 
 ``read_dump`` uses Spark's own text scan (Hadoop zstd codec) by default.  Dumps
 written with a long zstd window (up to 2^31) defeat that codec, so
-``long_window=True`` switches to a Python data source that streams each file
-through ``zstandard`` and yields Arrow batches of lines: one task per file (a
-zstd frame is not splittable), repartitioned right after the scan.
+``long_window=True`` reads the files as binary rows (Spark's own file access, so
+any shared storage) and streams each through ``zstandard`` into Arrow batches of
+lines: one task per file (a zstd frame is not splittable), repartitioned right
+after the scan.
 """
 
 from __future__ import annotations
 
-import glob as _glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,59 +32,38 @@ def _trim_ws(c):
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
-try:  # Python data source API (Spark 4)
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-    class _FilePartition(InputPartition):
-        def __init__(self, path: str):
-            self.path = path
-
-    class _ZstLinesReader(DataSourceReader):
-        def __init__(self, paths, batch_rows: int = 8192):
-            self.paths = paths
-            self.batch_rows = batch_rows
+def _zst_lines(batches):
+    """(file, content) -> (file, value): the lines of zstd streams of any window size, in batches."""
+    import io
 
-        def partitions(self):
-            return [_FilePartition(p) for p in self.paths]
+    import pyarrow as pa
+    import zstandard
 
-        def read(self, partition):
-            import io
+    dctx = zstandard.ZstdDecompressor(max_window_size=2 ** 31)
 
-            import pyarrow as pa
-            import zstandard
+    def out(name, lines):
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string())], names=["file", "value"])
 
-            dctx = zstandard.ZstdDecompressor(max_window_size=2 ** 31)
+    for b in batches:
+        for name, content in zip(b.column(0).to_pylist(), b.column(1)):
             buf = []
-            with open(partition.path, "rb") as fh, dctx.stream_reader(fh) as r:
-                text = io.TextIOWrapper(r, encoding="utf-8", errors="replace", newline="")
-                for line in text:
+            with dctx.stream_reader(io.BytesIO(content.as_buffer()), read_across_frames=True) as r:
+                for line in io.TextIOWrapper(r, encoding="utf-8", errors="replace", newline=""):
                     buf.append(line)
-                    if len(buf) >= self.batch_rows:
-                        yield pa.RecordBatch.from_pydict({"value": buf})
+                    if len(buf) >= 8192:
+                        yield out(name, buf)
                         buf = []
             if buf:
-                yield pa.RecordBatch.from_pydict({"value": buf})
-
-    class ZstLinesSource(DataSource):
-        """format("zst_lines"): one row per decompressed line, column ``value``."""
-
-        @classmethod
-        def name(cls):
-            return "zst_lines"
-
-        def schema(self):
-            return "value string"
+                yield out(name, buf)
 
-        def reader(self, schema):
-            pattern = self.options.get("path")
-            paths = sorted(_glob.glob(pattern)) if any(ch in pattern for ch in "*?[") else (
-                sorted(os.path.join(pattern, f) for f in os.listdir(pattern)
-                       if f.endswith(".zst")) if os.path.isdir(pattern) else [pattern])
-            return _ZstLinesReader(paths)
 
-    _HAVE_DS = True
-except ImportError:  # pragma: no cover
-    _HAVE_DS = False
+def zst_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of compressed files under ``path``, read through Spark's file systems (any
+    scheme).  ``file`` is the ``dump`` folder if there is one (our sink's layout), else the file name.
+    A file is one row of at most 2 GB, and one task decompresses it as a stream."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.col("dump").cast("string") if "dump" in files.columns else F.element_at(F.split("path", "/"), -1)
+    return files.select(name.alias("file"), "content").mapInArrow(_zst_lines, "file string, value string")
 
 
 def read_dump(spark: SparkSession, path: str, long_window: bool = False,
@@ -94,16 +71,11 @@ def read_dump(spark: SparkSession, path: str, long_window: bool = False,
     """Lines of compressed dumps, trimmed, blanks dropped (the last line is kept
     even without a final newline).  Adds ``file`` (the file name)."""
     if long_window:
-        if not _HAVE_DS:
-            raise RuntimeError("Python data sources need Spark 4")
-        spark.dataSource.register(ZstLinesSource)
-        df = spark.read.format("zst_lines").option("path", path).load() \
-            .withColumn("file", F.lit(None).cast("string"))
+        df = zst_lines(spark, path)
     else:
         df = spark.read.text(path).withColumn("file", F.col("_metadata.file_name"))
     df = df.select(_trim_ws(F.col("value")).alias("line"), "file").filter(F.col("line") != "")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
+    return df.repartition(partitions) if partitions else df.hint("rebalance")
 
 
 def parse_comments(lines: DataFrame, schema: T.StructType = COMMENT_SCHEMA,

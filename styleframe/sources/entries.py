@@ -103,17 +103,14 @@ def read_pan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     is_unknown = F.lower(C("folder")).contains("unknown")
     gt_schema = T.StructType([T.StructField("ground_truth", T.ArrayType(T.StructType([
         T.StructField("unknown-text", T.StringType()), T.StructField("true-author", T.StringType())])))])
-    try:
-        gt_raw = spark.read.option("recursiveFileLookup", "true") \
-            .option("pathGlobFilter", "ground-truth.json").text(root, wholetext=True)
-        gt = gt_raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("problem"),
-                           F.explode(F.from_json("value", gt_schema)["ground_truth"]).alias("_g")) \
-            .select("problem", C("_g")["unknown-text"].alias("file"),
-                    C("_g")["true-author"].alias("author"))
-        # one row per (problem, file): a later duplicate entry wins
-        gt = gt.groupBy("problem", "file").agg(F.last("author").alias("author"))
-    except Exception:  # no truth files at all
-        gt = spark.createDataFrame([], "problem string, file string, author string")
+    # without truth files this scan is empty; a path that cannot be read fails like the one above
+    gt_raw = spark.read.option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", "ground-truth.json").text(root, wholetext=True)
+    gt = gt_raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("problem"),
+                       F.posexplode(F.from_json("value", gt_schema)["ground_truth"]).alias("_at", "_g")) \
+        .select("problem", "_at", C("_g")["unknown-text"].alias("file"), C("_g")["true-author"].alias("author"))
+    # one row per (problem, file): the later entry of a duplicate wins, by its place in the file
+    gt = gt.groupBy("problem", "file").agg(F.max_by("author", "_at").alias("author"))
     train = ex.filter(~is_unknown).select(
         "sentence", F.array("problem", "folder", "file", tag_line).alias("tags"))
     ev = (ex.filter(is_unknown).join(gt, ["problem", "file"], "left")
@@ -158,13 +155,16 @@ def pick_column(columns: Sequence[str], explicit: str | None = None,
 def read_prompts(spark: SparkSession, path: str, column: str | None = None,
                  limit: int | None = None, order: str | None = None) -> DataFrame:
     """Prompts CSV (quoted newlines allowed) -> (prompt).  ``limit`` keeps the
-    first n after a stable sort on ``order`` (or on the file order column)."""
+    first n in the order of column ``order``, or as they stand in the files
+    (files by path)."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     col = pick_column(df.columns, column)
-    out = df.select(C(col).alias("prompt"), *([C(order)] if order else []))
-    if limit is not None:
-        out = out.orderBy(order or "prompt").limit(limit)
-    return out.select("prompt")
+    if limit is None:
+        return df.select(C(col).alias("prompt"))
+    # a file is one split here, and row numbers rise within it
+    place = [C(order)] if order else [F.col("_metadata.file_path"), F.monotonically_increasing_id()]
+    out = df.select(C(col).alias("prompt"), *[p.alias(f"_o{i}") for i, p in enumerate(place)])
+    return out.orderBy(*[f"_o{i}" for i in range(len(place))]).limit(limit).select("prompt")
 
 
 __all__ = ["read_hierarchy", "read_entries", "read_labelled_tsv", "read_pan", "read_instructions",

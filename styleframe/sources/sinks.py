@@ -80,39 +80,50 @@ def write_vectors(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """Small result tables (metrics, history, run config, label map) as JSON."""
-    df.coalesce(1).write.mode("overwrite").json(path)
-
-
-def write_zst_json_lines(df: DataFrame, path: str, level: int = 3, long_window: bool = True) -> DataFrame:
-    """Each task compresses its partition into one ``part-<n>.zst`` file of
-    JSON lines (written under a temporary name, then renamed, so a retried task
-    replaces its own file).  Returns (file, rows) per task."""
-    import os
-
-    cols = df.columns
-
-    def run(it):
-        import json as _json
-
-        import pandas as pd
-        import zstandard
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        os.makedirs(path, exist_ok=True)
-        final = f"{path}/part-{pid:05d}.zst"
-        tmp = f"{final}.tmp-{TaskContext.get().attemptNumber()}"
-        params = zstandard.ZstdCompressionParameters.from_level(
-            level, window_log=27 if long_window else 0)
-        n = 0
-        with open(tmp, "wb") as fh:
-            with zstandard.ZstdCompressor(compression_params=params).stream_writer(fh) as w:
-                for pdf in it:
-                    for rec in pdf[cols].to_dict("records"):
-                        w.write((_json.dumps(rec, ensure_ascii=False) + "\n").encode())
-                        n += 1
-        os.replace(tmp, final)
-        yield pd.DataFrame({"file": [final], "rows": [n]})
-
-    return df.mapInPandas(run, "file string, rows long")
+    """Result tables (metrics, history, run config, label map) as JSON lines."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_run(path: str, results: DataFrame, history: DataFrame, config: dict, labels: DataFrame) -> None:
+    """A run's folder: ``results``, ``history``, ``config`` (name, JSON value) and ``label_map``."""
+    import json
+
+    spark = results.sparkSession
+    rows = [(k, json.dumps(v)) for k, v in sorted(config.items())]
+    for name, df in (("results", results), ("history", history), ("label_map", labels),
+                     ("config", spark.createDataFrame(rows, "name string, value string"))):
+        write_report(df, f"{path}/{name}")
+
+
+# An empty skippable frame (magic number 0x184D2A50, size 0, little-endian).  All its bytes are ASCII.
+ZST_SEPARATOR = "P*M\x18\x00\x00\x00\x00"
+
+
+def write_zst_json_lines(df: DataFrame, path: str, dump: str | None = None, level: int = 3, long_window: bool = True) -> None:
+    """JSON lines as zstd files under ``path`` (``path/dump=<d>/`` by the column ``dump``), written by
+    Spark's own committer, so retries and any shared storage are safe.
+
+    A task compresses each Arrow batch of lines into one frame.  Frames are rows of a text file whose
+    line separator is an empty skippable frame, so every part file is a valid zstd stream."""
+    import functools
+
+    keep = [c for c in df.columns if c != dump]
+    name = C(dump).cast("string") if dump else F.lit("all")
+    lines = df.select(name.alias("dump"), F.to_json(F.struct(*keep), {"ignoreNullFields": "false"}).alias("line"))
+    frames = lines.mapInArrow(functools.partial(_frames, level=level, window=27 if long_window else 0), "dump string, frame binary")
+    rows = frames.select(C("frame").cast("string").alias("value"), *(["dump"] if dump else []))
+    rows.write.mode("overwrite").partitionBy(*(["dump"] if dump else [])).text(path, lineSep=ZST_SEPARATOR)
+
+
+def _frames(batches, level: int, window: int):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import zstandard
+
+    params = zstandard.ZstdCompressionParameters.from_level(level, window_log=window)
+    for b in batches:
+        for d in pc.unique(b.column(0)).to_pylist():
+            mine = b.column(1).filter(pc.fill_null(pc.equal(b.column(0), d), d is None))
+            data = "".join(x + "\n" for x in mine.to_pylist()).encode()
+            frame = zstandard.ZstdCompressor(compression_params=params).compress(data)
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.string()), pa.array([frame], pa.binary())], names=["dump", "frame"])
