@@ -144,9 +144,30 @@ def _visit_task(batches, forest, dim: int, visits: int):
                                              names=["tree", "leaf", "qid", "q"])
 
 
+#: found rows that a task holds before it keeps only the best of each query
+HOLD = 500_000
+
+
+def _best(parts: list[tuple], keep: int) -> tuple:
+    """The ``keep`` nearest classes of each query, by (distance, smallest id), each once."""
+    q, cid, c, d = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((cid, c, d, q))
+    q, cid, c, d = q[order], cid[order], c[order], d[order]
+    new = np.r_[True, (q[1:] != q[:-1]) | (cid[1:] != cid[:-1])]  # a class met in several trees has equal rows side by side
+    q, cid, c, d = q[new], cid[new], c[new], d[new]
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    return tuple(x[rank < keep] for x in (q, cid, c, d))
+
+
 def _rank_task(batches, dim: int, keep: int):
+    """(qid, cid, c, d): of all pairs that this task meets, the best of each query."""
+    parts, held = [], 0
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _best(parts, keep)], names=["qid", "cid", "c", "d"])
+
     for b in batches:
-        out = [[], [], []]
         for queries, members in zip(b.column(0), b.column(1)):
             queries, members = queries.values, members.values
             qid, cid, c = (s.to_numpy(zero_copy_only=False) for s in (queries.field(0), members.field(0), members.field(2)))
@@ -159,11 +180,16 @@ def _rank_task(batches, dim: int, keep: int):
                     best = best[np.lexsort((c[best], d[best]))][:keep]
                 else:
                     best = np.arange(len(d))
-                out[0].append(np.full(len(best), qid[i]))
-                out[1].append(cid[best])
-                out[2].append(d[best])
-        qs, cs, ds = (np.concatenate(o) if o else np.zeros(0) for o in out)
-        yield pa.RecordBatch.from_arrays([pa.array(qs.astype(np.int64)), pa.array(cs.astype(np.int64)), pa.array(ds.astype(np.float64))], names=["qid", "cid", "d"])
+                parts.append((np.full(len(best), qid[i], np.int64), cid[best].astype(np.int64), c[best].astype(np.int64), d[best]))
+                held += len(best)
+            if held > HOLD:
+                parts = [_best(parts, keep)]
+                held = len(parts[0][0])
+                if held > HOLD // 2:
+                    yield out()
+                    parts, held = [], 0
+    if parts:
+        yield out()
 
 
 # -- on Spark ----------------------------------------------------------------------
@@ -207,13 +233,13 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     counted = walked.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
     members = _chunked(placed, counts, ("cid", "v", "c"), CHUNK, "members")
     queries = _chunked(walked, counted, ("qid", "q"), QUERY_CHUNK, "queries")
-    met = queries.join(members, ["tree", "leaf"]).select("queries", "members")
-    near = met.mapInArrow(functools.partial(_rank_task, dim=dim, keep=k + 1), "qid bigint, cid bigint, d double")
-    near = near.groupBy("qid", "cid").agg(F.min("d").alias("d"))
+    # merge joins by hint: Spark takes an array for one element when it guesses a table's size for a broadcast
+    met = queries.join(members.hint("merge"), ["tree", "leaf"]).select("queries", "members")
+    near = met.mapInArrow(functools.partial(_rank_task, dim=dim, keep=k + 1), "qid bigint, cid bigint, c bigint, d double")
     # k + 1 nearest classes of a query vector hold its k nearest other ids
     best = F.row_number().over(Window.partitionBy("qid").orderBy("d", "c"))
-    near = (near.join(classes.select("cid", "c", "ids"), "cid").withColumn("n", best).where(F.col("n") <= k + 1)
-            .select("qid", "d", F.explode("ids").alias("vec_id")))
+    near = (near.distinct().withColumn("n", best).where(F.col("n") <= k + 1)
+            .join(classes.select("cid", "ids").hint("merge"), "cid").select("qid", "d", F.explode("ids").alias("vec_id")))
     pairs = (asked.select("query_id", "qid").join(near, "qid").where("vec_id <> query_id")
              .groupBy("query_id", "vec_id").agg(F.min("d").alias("score")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
