@@ -65,7 +65,7 @@ def lexical_scores(spark, sf):
     vec = lexical.to_vectors(w, size)
     lab = table(spark, sf, "labels").select("doc_id", C("quality").cast("double").alias("label"))
     data = checkpoint(vec.join(lab, "doc_id"))
-    model = lexical.fit_lexical(data, "label", c=3.0, max_iter=200)
+    model = lexical.fit_lexical(data, "label", c=3.0)
     scored = model.transform(data).select(
         "doc_id", "label", C("prediction").cast("int").alias("pred"),
         F.round(vector_to_array("probability")[1], 6).alias("p1"))
