@@ -8,6 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from styleframe.functions import keyed
 from styleframe.functions import vectors as V
 from styleframe.functions.text import WS
 from styleframe.operators import corpus, cues, encode, instruct, vectors
@@ -221,6 +222,43 @@ def monolingual_instructions(spark, sf):
     return out.filter(C("prompt")[0]["content"].startswith("q: ")).groupBy("dialect").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _case(col: str, table: dict[str, str], default: str) -> str:
+    """A fixed dictionary as a SQL CASE."""
+    q = lambda v: "'" + v.replace("'", "''") + "'"
+    return f"CASE {col} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in table.items()) + f" ELSE {default} END"
+
+
+_TOPICS = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in instruct.QUESTION_TOPICS) + "]"
+_ASKED = _case("lang", {k: ", ".join(v) for k, v in instruct.QUESTION_WORDS.items()}, "'" + ", ".join(instruct.DEFAULT_QUESTION_WORDS) + "'")
+_NAME = _case("lang", instruct.COUNTRY_TO_DIALECT_NAME, "'Arabic dialect (' || lang || ')'")
+
+
+@register("monolingual_instructions_all", ops=("O-35", "O-29", "O-33"), sql=f"""
+WITH d AS (SELECT lang AS dialect, text, {_NAME} AS name, {_ASKED} AS asked,
+                  {_TOPICS}[CAST(floor({keyed.sql_uniform(42, "'topic'", 'doc_id')} * {len(instruct.QUESTION_TOPICS)}) AS BIGINT) + 1] AS topic
+           FROM documents),
+q AS (SELECT dialect, text, name, 'q: ' || left(string_split(text, chr(10))[-1], 60) AS question FROM d
+      WHERE length('Ask one short question in ' || name || ' (not Modern Standard Arabic) about ' || topic ||
+                   ' to which the text below is a natural answer. Use question words like ' || asked ||
+                   '. Give the question only and do not repeat the text.' || repeat(chr(10), 2) || 'Text:' || chr(10) || text) <= 3000),
+a AS (SELECT dialect, text, regexp_replace(question, '^{WS}+|{WS}+$', '', 'g') AS prompt,
+             regexp_replace('an answer with ' || left(string_split(text, ': ')[-1], 40), '^{WS}+|{WS}+$', '', 'g') AS answer FROM q
+      WHERE length('Answer in ' || name || ' only, in three to six sentences, the question: ' || question ||
+                   chr(10) || 'Use this phrase in the answer: ' || text) <= 3000),
+g AS (SELECT dialect, prompt, CASE WHEN length(answer) < 20 THEN text ELSE answer END AS answer FROM a WHERE length(prompt) >= 5)
+SELECT dialect, count(*) AS n, CAST(sum(('0x' || substr(md5(prompt), 1, 8))::BIGINT) AS BIGINT) AS prompt_sum,
+       CAST(sum(('0x' || substr(md5(answer), 1, 8))::BIGINT) AS BIGINT) AS answer_sum
+FROM g GROUP BY dialect
+""")
+def monolingual_instructions_all(spark, sf):
+    """Every document through both requests; the annotator alone drops rows (requests of over 3000 characters)."""
+    d = table(spark, sf, "documents").select("doc_id", "text", C("lang").alias("dialect"), "source", F.lit("monolingual").alias("type"))
+    out = instruct.monolingual_instructions(d, echo_annotator, ["doc_id"])
+    digest = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")
+    return out.groupBy("dialect").agg(F.count(F.lit(1)).alias("n"), F.sum(digest(C("prompt")[0]["content"])).alias("prompt_sum"),
+                                      F.sum(digest(C("ground_truth"))).alias("answer_sum"))
+
+
 # -- O-19: closed-set JSONL and its labels ---------------------------------------------------------------
 @register("closed_set_roundtrip", ops=("O-19", "O-59"), sql="""
 SELECT quality AS label, count(*) AS n, CAST(sum(('0x' || substr(md5(text), 1, 8))::BIGINT) AS BIGINT) AS text_sum,
