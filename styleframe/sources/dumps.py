@@ -2,14 +2,16 @@
 
 ``read_dump`` uses Spark's own text scan (Hadoop zstd codec) by default.  Dumps
 written with a long zstd window (up to 2^31) defeat that codec, so
-``long_window=True`` reads the files as binary rows (Spark's own file access, so
-any shared storage) and streams each through ``zstandard`` into Arrow batches of
-lines: one task per file (a zstd frame is not splittable), repartitioned right
-after the scan.
+``long_window=True`` lists the files with Spark and streams each in bounded
+chunks from the shared storage through ``zstandard`` into Arrow batches of lines:
+one task per file (a zstd frame is not splittable), rebalanced right after the
+scan.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +34,37 @@ def _trim_ws(c):
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
-def _zst_lines(batches):
-    """(file, content) -> (file, value): the lines of zstd streams of any window size, in batches."""
+#: bytes of a file that its task reads at once
+CHUNK = 1 << 20
+
+
+def _file_system(path: str):
+    """(file system, path in it) of a path as Spark lists it."""
+    import urllib.parse
+
+    import pyarrow.fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    scheme = "s3" if scheme in ("s3a", "s3n") else scheme
+    return pyarrow.fs.FileSystem.from_uri(scheme + ":" + urllib.parse.quote(rest, safe="/:@"))
+
+
+def _opens(path: str) -> bool:
+    """Whether tasks can open files of this file system themselves."""
+    import pyarrow
+
+    try:
+        fs, name = _file_system(path)
+        fs.open_input_stream(name, compression=None).close()
+        return True
+    except (pyarrow.ArrowException, OSError, ValueError):
+        return False
+
+
+def _zst_lines(batches, chunk: int):
+    """(file, path or content) -> (file, value): the lines of zstd streams of any window size, in batches."""
     import io
 
     import pyarrow as pa
@@ -44,10 +75,16 @@ def _zst_lines(batches):
     def out(name, lines):
         return pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string())], names=["file", "value"])
 
+    def opened(x):
+        if pa.types.is_binary(x.type) or pa.types.is_large_binary(x.type):
+            return io.BytesIO(x.as_buffer())
+        fs, path = _file_system(x.as_py())
+        return fs.open_input_stream(path, compression=None, buffer_size=chunk)
+
     for b in batches:
-        for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+        for name, x in zip(b.column(0).to_pylist(), b.column(1)):
             buf = []
-            with dctx.stream_reader(io.BytesIO(content.as_buffer()), read_across_frames=True) as r:
+            with opened(x) as f, dctx.stream_reader(f, read_size=chunk, read_across_frames=True) as r:
                 for line in io.TextIOWrapper(r, encoding="utf-8", errors="replace", newline=""):
                     buf.append(line)
                     if len(buf) >= 8192:
@@ -58,12 +95,17 @@ def _zst_lines(batches):
 
 
 def zst_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value) of compressed files under ``path``, read through Spark's file systems (any
-    scheme).  ``file`` is the ``dump`` folder if there is one (our sink's layout), else the file name.
-    A file is one row of at most 2 GB, and one task decompresses it as a stream."""
+    """(file, value) of compressed files under ``path``.  ``file`` is the ``dump`` folder if there is
+    one (our sink's layout), else the file name.
+
+    Spark lists the files (any scheme); a file is decompressed as a stream by one task, which opens it
+    in the shared file system and holds ``CHUNK`` bytes of it and the zstd window, whatever its size.
+    Only in stores that Python cannot open (viewfs, say) a file comes as one row of at most 2 GB."""
     files = spark.read.format("binaryFile").load(path)
     name = F.col("dump").cast("string") if "dump" in files.columns else F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file"), "content").mapInArrow(_zst_lines, "file string, value string")
+    first = files.select("path").first()
+    value = "path" if first is None or _opens(first[0]) else "content"  # without the content it is a listing
+    return files.select(name.alias("file"), value).mapInArrow(functools.partial(_zst_lines, chunk=CHUNK), "file string, value string")
 
 
 def read_dump(spark: SparkSession, path: str, long_window: bool = False,
