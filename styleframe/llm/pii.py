@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from styleframe.session import checkpoint
 
 CONTEXT, LETTERS, SUPPORT, ALPHA = 4, 4, 3, 1.1
-#: characters on either side of an entity in which its context is looked for
-REACH = 160
 BROADCAST_TERMS = 200_000
 KINDS = ("email", "ip", "card", "phone")
 
@@ -82,26 +80,42 @@ VALID = {
 SPAN = "struct<a:int,z:int,v:string,l:string,r:string>"
 
 
+def _words_only(c: Column) -> Column:
+    return F.regexp_replace(c, rf"[^{LETTER}]+", " ")
+
+
 def spans_of(text: Column, pattern, valid=lambda m: F.lit(True), contexts: bool = True) -> Column:
-    """Array of (a, z, v, l, r): start and end in code points, value, text on the left and right.
+    """Array of (a, z, v, l, r): start and end in code points, value, nearest words on the left and right.
 
-    The pieces between matches and the matches are walked together once."""
+    The pieces between matches and the matches are walked together once for each side.  A walk carries
+    the last ``CONTEXT`` words it has passed, of pieces and matches alike, and a word that is cut off
+    by a match may go on behind it: so a context is that of the whole text, whatever lies between."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    pieces = F.split(text, pattern, -1)
-    both = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), pieces.alias("p"),
-                        (F.slice(pieces, 2, 1 << 30) if contexts else F.array().cast("array<string>")).alias("q"))
+    both = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    none, n = F.lit(None).cast("string"), CONTEXT + 1  # a space at the outer end counts as an empty word
 
     def step(acc, x):
         a = acc["at"] + F.length(x["p"])
         z = a + F.length(x["m"])
-        side = (lambda c: c) if contexts else (lambda c: F.lit(None).cast("string"))
-        found = F.struct(a.alias("a"), z.alias("z"), x["m"].alias("v"), side(F.right(x["p"], F.lit(REACH))).alias("l"),
-                         side(F.left(x["q"], F.lit(REACH))).alias("r"))
+        left = F.substring_index(_words_only(F.concat(acc["near"], x["p"])), " ", -n) if contexts else F.lit("")
+        found = F.struct(a.alias("a"), z.alias("z"), x["m"].alias("v"), (left if contexts else none).alias("l"), none.alias("r"))
         more = F.when(x["m"].isNotNull() & valid(x["m"]), F.concat(acc["s"], F.array(found).cast(f"array<{SPAN}>"))).otherwise(acc["s"])
-        return F.struct(F.coalesce(z, acc["at"]).alias("at"), more.alias("s"))
+        near = F.substring_index(_words_only(F.concat(left, F.coalesce(x["m"], F.lit("")))), " ", -n) if contexts else F.lit("")
+        return F.struct(F.coalesce(z, acc["at"]).alias("at"), near.alias("near"), more.alias("s"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("s"))
-    return F.aggregate(both, start, step, lambda acc: acc["s"])
+    def back(acc, x):
+        some = x["m"].isNotNull() & valid(x["m"])
+        more = F.when(some, F.concat(acc["s"], F.array(acc["near"]))).otherwise(acc["s"])
+        near = F.substring_index(_words_only(F.concat(x["p"], F.coalesce(x["m"], F.lit("")), acc["near"])), " ", n)
+        return F.struct(near.alias("near"), more.alias("s"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("near"), F.array().cast(f"array<{SPAN}>").alias("s"))
+    spans = F.aggregate(both, start, step, lambda acc: acc["s"])
+    if not contexts:
+        return spans
+    start = F.struct(F.lit("").alias("near"), F.array().cast("array<string>").alias("s"))
+    rights = F.aggregate(F.reverse(both), start, back, lambda acc: F.reverse(acc["s"]))
+    return F.zip_with(spans, rights, lambda s, r: F.struct(s["a"].alias("a"), s["z"].alias("z"), s["v"].alias("v"), s["l"].alias("l"), r.alias("r")))
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -120,28 +134,28 @@ def words_of(text: Column) -> Column:
 
 
 def find_base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, email, ip, card, phone): base spans of each row, checkpointed; th is a hash of the text."""
+    """(id, th, nr, email, ip, card, phone): base spans of each row, checkpointed; th is a hash of the text, nr tells rows apart."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("id"), t.alias("text"))
-    return checkpoint(rows.select("id", F.xxhash64("text").alias("th"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS]))
+    return checkpoint(rows.select("id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("nr"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS]))
 
 
 def co_occurrences(base: DataFrame) -> DataFrame:
-    """(id, th, e, t, c): entity, term beside it, and a hash of the context."""
+    """(nr, e, t, c): row, entity, term beside it, and a hash of the context."""
     def entities(kind: str) -> Column:
         same = _digits if kind in ("card", "phone") else F.lower
         return F.transform(F.col(kind), lambda s: F.struct(
             F.concat(F.lit(kind + ":"), same(s["v"])).alias("e"), s["l"].alias("l"), s["r"].alias("r")))
 
     tagged = F.concat(*[entities(k) for k in KINDS])
-    rows = base.select("id", "th", F.explode(tagged).alias("x")).select("id", "th", "x.*")
+    rows = base.select("nr", F.explode(tagged).alias("x")).select("nr", "x.*")
     word = F.lit(rf"[^{LETTER}]+")
     left = F.filter(F.split(F.lower("l"), word), lambda w: w != "")
     right = F.filter(F.split(F.lower("r"), word), lambda w: w != "")
     beside = F.concat(F.slice(F.reverse(left), 1, CONTEXT), F.slice(right, 1, CONTEXT))
-    rows = rows.select("id", "th", "e", beside.alias("ws"))
+    rows = rows.select("nr", "e", beside.alias("ws"))
     terms = F.filter(F.array_distinct("ws"), lambda w: F.length(w) >= LETTERS)
-    return rows.select("id", "th", "e", F.xxhash64("ws").alias("c"), F.explode(terms).alias("t"))
+    return rows.select("nr", "e", F.xxhash64("ws").alias("c"), F.explode(terms).alias("t"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -149,15 +163,17 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, text: str = "text") -> DataFrame:
-    """(t, full): terms whose disclosure of some entity exceeds the threshold; full if it is complete."""
+    """(t, full): terms whose disclosure of some entity exceeds the threshold; full if it is complete.
+
+    All counts are of rows, repeated ones included."""
     beside = co_occurrences(base)
     n_docs = F.lit(max(1, base.count()))
     seen = beside.groupBy("e", "t", "c").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.count("*").alias("contexts"))
-    pairs = beside.select("id", "th", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("n_both"))
-    entities = beside.select("id", "th", "e").distinct().groupBy("e").agg(F.log2(n_docs / F.count("*")).alias("ic"))
+    pairs = beside.select("nr", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("n_both"))
+    entities = beside.select("nr", "e").distinct().groupBy("e").agg(F.log2(n_docs / F.count("*")).alias("ic"))
     # documents with the term are at least those in which it stands beside any entity, which bounds p(e | t)
     # from above: words that stand beside many entities cannot disclose one, and are not counted further
-    least = beside.select("id", "th", "t").distinct().groupBy("t").agg(F.count("*").alias("n_least"))
+    least = beside.select("nr", "t").distinct().groupBy("t").agg(F.count("*").alias("n_least"))
     open_ = (seen.where(F.col("contexts") >= SUPPORT).join(pairs, ["e", "t"]).join(entities, "e").join(least, "t")
              .where(_discloses(F.col("n_both") / F.col("n_least"))).select("t", "n_both", "ic"))
     open_ = checkpoint(open_)
