@@ -186,7 +186,7 @@ SELECT CASE lang WHEN 'fr' THEN 'CAI' ELSE 'AMM' END AS city, CASE lang WHEN 'fr
 FROM j WHERE length(t) >= 5 GROUP BY ALL
 """)
 def city_files(spark, sf):
-    """Documents of four languages as the English, MSA and two cities' files, aligned by line."""
+    """Documents of four languages as the English, MSA and two cities' folders, aligned by line number."""
     from styleframe.functions.text import tsv_safe
     from styleframe.operators.hierarchy import line_numbers
     names = {"en": "English", "de": "MSA", "fr": "CAI", "es": "AMM"}
@@ -194,10 +194,9 @@ def city_files(spark, sf):
     t = F.regexp_replace(F.translate(tsv_safe(C("text")), "\x0b", " "), f"^{WS}+|{WS}+$", "")
     d = line_numbers(d.select("lang", "doc_id", t.alias("t")).filter(F.char_length("t") > 0), ["lang"], ["doc_id"])
     root = scratch_path(spark, "cities")
-    for lang, name in names.items():  # a file is a city: its lines keep their order in one text file
-        one = d.filter(C("lang") == lang).orderBy("line_no").select(F.concat_ws("\t", C("line_no").cast("string"), "t").alias("value"))
-        corpora.write_single_file(one, f"{root}/MADAR.corpus.{name}.tsv")
-    s = corpora.load_city_files(spark, root)
+    city = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[C("lang")]
+    corpora.write_city_folders(d.select(city.alias("city"), "line_no", C("t").alias("text")), root)
+    s = corpora.load_city_folders(spark, root)
     digest = F.md5(F.concat(C("text"), F.lit("|"), F.coalesce("english", F.lit(""))))
     return s.groupBy("city", "dialect", "type").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")).alias("text_sum"))

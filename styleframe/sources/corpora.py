@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from styleframe.functions.text import WS
+from styleframe.functions.text import WS, tsv_safe
 from styleframe.operators.instruct import DIALECT_TO_COUNTRY, SAMPLE_SCHEMA
 
 C = F.col
@@ -126,6 +126,29 @@ def load_city_files(spark: SparkSession, path: str, source: str = "madar",
     # same city twice: the last file (by path) wins
     last = f.groupBy("city").agg(F.max("_fp").alias("_fp"))
     f = f.join(last, ["city", "_fp"], "left_semi")
+    return _align_cities(f, source)
+
+
+def write_city_folders(df: DataFrame, path: str, city: str = "city", line_no: str = "line_no", text: str = "text") -> None:
+    """Each city as a folder ``path/city=<name>/`` of part files whose lines are number, tab, text
+    (made safe for a line), in no order: any number of tasks writes and reads a city."""
+    t = F.translate(tsv_safe(C(text)), "\x0b", " ")
+    df.select(C(city).alias("city"), F.concat_ws("\t", C(line_no).cast("string"), F.coalesce(t, F.lit(""))).alias("value")) \
+        .write.mode("overwrite").partitionBy("city").text(path)
+
+
+def load_city_folders(spark: SparkSession, path: str, source: str = "madar") -> DataFrame:
+    """What ``write_city_folders`` wrote, as ``load_city_files`` gives it: an ordinary line scan,
+    aligned on the line number that each line carries."""
+    raw = spark.read.text(path)
+    city = C("city").cast("string")
+    f = raw.select(city.alias("city"), city.alias("_fp"), F.substring_index("value", "\t", 1).cast("bigint").alias("line_no"),
+                   _strip(F.element_at(F.split("value", "\t", 2), -1)).alias("text"))
+    return _align_cities(f.filter(C("city").isNotNull()), source)
+
+
+def _align_cities(f: DataFrame, source: str) -> DataFrame:
+    """Samples of (city, _fp, line_no, text), each with the English line of its number, else the MSA line."""
     code = lookup(C("city"))
     f = f.withColumn("dialect", F.when(code.isNull() | (code == "msa"), F.lit("msa")).otherwise(code))
     low = F.lower(C("city"))
