@@ -7,7 +7,7 @@ optionally through a distinct-word dictionary; the vocabulary is a top-N.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,6 +97,30 @@ def to_vectors(weights: DataFrame, size: int, doc: str = "doc_id") -> DataFrame:
     return g.select(doc, _sparse(F.lit(size), "_i", "_v").alias("features"))
 
 
+def document_vectors(docs: DataFrame, vocab: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, features) of every document by a given vocabulary: terms outside it are ignored, and a
+    document without any known term has the zero vector."""
+    size = vocab.agg(F.max("idx")).first()[0] + 1
+    w = tfidf(char_ngrams(docs, doc, text), vocab, doc)
+    g = w.groupBy(doc).agg(F.collect_list("idx").alias("_i"), F.collect_list("w").alias("_v"))
+    g = docs.select(doc).join(g, doc, "left")
+    return g.select(doc, _sparse(F.lit(size), F.coalesce("_i", F.array().cast("array<int>")),
+                                 F.coalesce("_v", F.array().cast("array<double>"))).alias("features"))
+
+
+def save_lexical(path: str, vocab: DataFrame, models: dict) -> None:
+    """The vocabulary and a model for each label, in one folder."""
+    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    for label, m in models.items():
+        m.write().overwrite().save(f"{path}/model-{label}")
+
+
+def load_lexical(spark, path: str, labels) -> tuple[DataFrame, dict]:
+    """(vocabulary, label -> model) as saved."""
+    return (spark.read.parquet(f"{path}/vocabulary"),
+            {label: LogisticRegressionModel.load(f"{path}/model-{label}") for label in labels})
+
+
 def fit_lexical(train: DataFrame, label: str = "label", c: float = 3.0,
                 max_iter: int = 2000, features: str = "features"):
     """Multinomial / binomial logistic regression with C -> regParam 1/(C n)."""

@@ -14,6 +14,7 @@ from styleframe.sources.tables import table
 
 C = F.col
 MAX_FEATURES = 80000
+LABELS = {"quality": ("pred", "p1"), "toxic": ("toxic_pred", "toxic_p1")}
 
 
 def train_docs(spark, sf):
@@ -53,24 +54,53 @@ def char_ngram_tfidf(spark, sf):
                                    F.round(F.max("w"), 9).alias("max_w"))
 
 
+@register("char_ngram_tfidf_all", ops=("O-100", "O-101", "O-102"), sql=f"""
+WITH al AS (SELECT doc_id, lower(text) AS t, doc_id IN (SELECT doc_id FROM labels) AS known FROM documents),
+w AS (SELECT doc_id, known, unnest(list_filter(regexp_split_to_array(t, '{WS}+'), lambda x: x <> '')) AS word FROM al),
+wc AS (SELECT doc_id, known, ' ' || word || ' ' AS pw, count(*) AS c FROM w GROUP BY doc_id, known, word),
+g1 AS (SELECT doc_id, known, c, pw, unnest(range(2, least(6, length(pw)) + 1)) AS n FROM wc),
+g2 AS (SELECT doc_id, known, c, pw, n, unnest(range(1, length(pw) - n + 2)) AS o FROM g1),
+tf AS (SELECT doc_id, known, substr(pw, o, n) AS term, sum(c) AS tf FROM g2 GROUP BY doc_id, known, term),
+nd AS (SELECT count(*) AS n FROM al WHERE known),
+st AS (SELECT term, sum(tf) AS tot, count(*) AS df FROM tf WHERE known GROUP BY term),
+voc AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM st, nd ORDER BY tot DESC, term LIMIT {MAX_FEATURES}),
+x AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN voc USING (term)),
+nr AS (SELECT doc_id, greatest(sqrt(sum(w * w)), 1e-12) AS nn FROM x GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_terms, round(sum(w / nn), 6) AS sum_w, round(max(w / nn), 9) AS max_w
+FROM x JOIN nr USING (doc_id) GROUP BY doc_id
+""")
+def char_ngram_tfidf_all(spark, sf):
+    """The vocabulary of the labelled documents, saved and applied to the whole documents table."""
+    train = train_docs(spark, sf)
+    vocab = lexical.fit_tfidf(lexical.char_ngrams(train), max_features=MAX_FEATURES, docs=train.select("doc_id"))
+    path = scratch_path(spark, "lexical-vocabulary")
+    lexical.save_lexical(path, vocab, {})
+    vocab, _ = lexical.load_lexical(spark, path, ())
+    w = lexical.tfidf(lexical.char_ngrams(table(spark, sf, "documents").select("doc_id", "text")), vocab)
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("w"), 6).alias("sum_w"),
+                                   F.round(F.max("w"), 9).alias("max_w"))
+
+
 def lexical_scores(spark, sf):
-    """Fit TF-IDF + LR on the labelled documents (quality label) and score them;
-    the probability table is cached as Parquet in the shared scratch folder
-    and read back (compute once, reuse)."""
-    w, _ = tfidf_weights(spark, sf)
-    # pin the weights once (reliable checkpoint in the shared folder): the
-    # vector size and the optimiser's many passes then read it, not TF-IDF
-    w = checkpoint(w)
-    size = w.agg(F.max("idx")).first()[0] + 1
-    vec = lexical.to_vectors(w, size)
-    lab = table(spark, sf, "labels").select("doc_id", C("quality").cast("double").alias("label"))
+    """Fit TF-IDF and a model for each label (quality, toxic) on the labelled documents, save them,
+    and score all documents by what was saved; the probability table is cached as Parquet in the
+    shared scratch folder and read back (compute once, reuse)."""
+    train = train_docs(spark, sf)
+    vocab = checkpoint(lexical.fit_tfidf(lexical.char_ngrams(train), max_features=MAX_FEATURES, docs=train.select("doc_id")))
+    lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    # pinned once (reliable checkpoint in the shared folder): the optimiser's many passes read it
+    vec = checkpoint(lexical.document_vectors(table(spark, sf, "documents").select("doc_id", "text"), vocab))
     data = checkpoint(vec.join(lab, "doc_id"))
-    model = lexical.fit_lexical(data, "label", c=3.0)
-    scored = model.transform(data).select(
-        "doc_id", "label", C("prediction").cast("int").alias("pred"),
-        F.round(vector_to_array("probability")[1], 6).alias("p1"))
+    models = {y: lexical.fit_lexical(data.withColumn("label", C(y).cast("double")).filter(C(y).isNotNull()), "label", c=3.0) for y in LABELS}
+    path = scratch_path(spark, "lexical-model")
+    lexical.save_lexical(path, vocab, models)
+    _, models = lexical.load_lexical(spark, path, LABELS)
+    scored = vec.join(lab.withColumnsRenamed({"quality": "label", "toxic": "toxic_label"}), "doc_id", "left")
+    for y, (pred, p1) in LABELS.items():
+        scored = models[y].transform(scored).withColumn(pred, C("prediction").cast("int")) \
+            .withColumn(p1, F.round(vector_to_array("probability")[1], 6)).drop("prediction", "probability", "rawPrediction")
     path = scratch_path(spark, "lexical-proba")
-    scored.write.mode("overwrite").parquet(path)
+    scored.drop("features").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
