@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from styleframe.llm import chat, decontaminate, langid, licenses, mixing, neighbours, pii, quality, sharding, simhash_dedup
+from styleframe.llm import (chat, collocations, decontaminate, kdtree, langid, licenses, mixing, neighbours, pii, prefix_trie,
+                            quality, sharding, simhash_dedup)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +69,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op11_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_products(read(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_chat, op3_neighbours, op4_decontamination, op5_sharding, op6_quality, op7_licenses, op8_mixing, op9_simhash_dedup, op10_pii, pipeline)}
-SQL = {"op2_chat": chat.SQL, "op8_mixing": mixing.SQL}
+    op1_language_id, op2_chat, op3_neighbours, op4_decontamination, op5_sharding, op6_quality, op7_licenses, op8_mixing, op9_simhash_dedup, op10_pii,
+    op11_kdtree, op12_prefix_trie, op13_collocations, pipeline)}
+SQL = {"op2_chat": chat.SQL, "op8_mixing": mixing.SQL, "op11_kdtree": kdtree.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_collocations": collocations.SQL}
