@@ -121,10 +121,6 @@ def search(tree: tuple, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int,
 _TREE = "dim int, shard bigint, ids array<bigint>, v array<double>, low array<double>, high array<double>, links array<bigint>"
 
 
-def _whole(v: np.ndarray) -> np.ndarray:
-    return np.floor(v * float(SCALE))
-
-
 def _tree_task(batches, leaf: int):
     for b in batches:
         for i in range(b.num_rows):
@@ -152,11 +148,12 @@ def _search_task(batches, k: int):
                 ids, v, low, high, links = (b.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(3, 8))
                 links = links.reshape(4, -1)
                 x = v.reshape(len(ids), dim)
-                tree, kept = (None, low.reshape(-1, dim), high.reshape(-1, dim), *links), (dim, shard)
+                nodes = links.shape[1]
+                tree, kept = (None, low.reshape(nodes, dim), high.reshape(nodes, dim), *links), (dim, shard)
                 most = np.abs(x).max(initial=0.0)
                 big = None
             queries = b.column(2)[i].values
-            q = queries.field(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            q = queries.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(queries), dim)
             floors = queries.field(2).to_pylist()
             for own, one, floor in zip(queries.field(0).to_pylist(), q, floors):
                 if most * np.abs(one).max(initial=0.0) * max(dim, 1) < EXACT:

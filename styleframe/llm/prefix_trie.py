@@ -24,7 +24,7 @@ Edge rows: turns are ordered by turn (null first), then by the SHA-256 of role
 and text; rows repeated in full are separate turns; null role or text is empty;
 rows without conv_id belong to no conversation and take no part; a base that is
 absent gives no head; a conversation shorter than its h has no own turns left
-and may be turnless (it is a member of the root); ids are cast to long; an empty
+and may be turnless (it is a member of the root); ids are cast to long, and c % 20 has the sign of c, as in SQL; an empty
 table gives an empty table; very long texts are one hash and one word count;
 other columns are ignored, whatever their names.
 """

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -24,7 +25,7 @@ def brute(rows):
         own[c].sort()
     for c in own:
         h = zlib.crc32(str(c).encode()) % 4
-        seqs[c] = tuple(t[3:] for t in own.get(c - c % 20, [])[:h] + own[c][h:])
+        seqs[c] = tuple(t[3:] for t in own.get(c - int(math.fmod(c, 20)), [])[:h] + own[c][h:])
     members = defaultdict(list)
     for c, s in seqs.items():
         for d in range(len(s) + 1):
