@@ -8,6 +8,7 @@ from styleframe.operators import hierarchy, sampling
 from styleframe.plans import sqlx
 from styleframe.plans.corpus_q import comments
 from styleframe.plans.registry import register
+from styleframe.session import checkpoint
 from styleframe.sources.tables import table
 
 SEED = 42
@@ -35,6 +36,7 @@ tot AS (SELECT max(dialect_end) AS total FROM spans)"""
 
 def spans(spark, sf):
     sized = comments(spark, sf, materialize=False).withColumn("n", F.size("sentences")).drop("sentences")
+    sized = checkpoint(sized)  # keys and a count: the text is read once, not once more for the range bounds
     return hierarchy.comment_spans(sized, n="n").withColumn("sent_idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1))) \
         .withColumn("idx", F.col("comment_start") + F.col("sent_idx")).drop("n")
 
