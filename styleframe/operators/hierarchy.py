@@ -69,16 +69,27 @@ def prefix_offsets(df: DataFrame, order: Sequence[str], weight: str, out: str =
 
 def line_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str],
                  out: str = "line_no") -> DataFrame:
-    """0-based position of each row inside its group in ``order`` (keys unique).
+    """0-based position of each row inside its group in ``order`` (keys unique; rows equal in
+    group and order share a position).
 
-    Global exclusive offsets (distributed prefix sum) minus the group's first
-    offset: a group holding a third of the rows is still spread over many
+    Only the keys are numbered: distributed prefix sum over the distinct (group, order), minus
+    the group's first offset, joined back on the keys.  No text enters the range shuffle, the
+    checkpoint or Python, and a group holding a third of the rows is still spread over many
     tasks, unlike ``row_number() over (partition by group)``."""
-    keys = list(group) + list(order)
-    g = prefix_offsets(df.withColumn("_one", F.lit(1)), keys, "_one", out="_goff").drop("_one")
-    first = g.groupBy(*group).agg(F.min("_goff").alias("_first"))
-    return g.join(first, list(group)).withColumn(out, (F.col("_goff") - F.col("_first")).cast("bigint")) \
-        .drop("_goff", "_first")
+    keys = list(dict.fromkeys([*group, *order]))
+    short = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct().withColumn("_one", F.lit(1))
+    names = short.columns[:-1]
+    g = prefix_offsets(short, names, "_one", out="_goff").drop("_one")
+    heads = names[:len(group)]
+    first = g.groupBy(*heads).agg(F.min("_goff").alias("_first")).select(*[F.col(h).alias(f"_g{h}") for h in heads], "_first")
+    same = F.lit(True)
+    for h in heads:
+        same = same & F.col(h).eqNullSafe(F.col(f"_g{h}"))
+    at = g.join(first, same).select(*names, (F.col("_goff") - F.col("_first")).cast("bigint").alias(out))
+    match = F.lit(True)
+    for k, n in zip(keys, names):
+        match = match & df[k].eqNullSafe(at[n])
+    return df.join(at, match).drop(*names)
 
 
 def comment_spans(comments: DataFrame, dialect: str = "lang", user: str = "source",

@@ -68,39 +68,64 @@ def span_mean(df: DataFrame, key, vec: str, pos: str, start: str, end: str,
             .select(*key, F.coalesce(F.col("_m"), V.as_double("_last")).alias(out)))
 
 
-def _gram(vec: str, dim: int):
-    schema = "i int, j int, g double, s double, n long"
+#: dimensions of one block of co-moments, and groups in which the blocks of all tasks are first merged
+BLOCK, LOTS = 64, 32
+_MOMENTS = "bi int, bj int, lot int, n long, mi array<double>, mj array<double>, m array<double>"
 
+
+def _moments_task(vec: str, dim: int):
+    """Centred co-moments of a task's rows: a row for each block of the upper triangle."""
     def run(it):
-        g = np.zeros((dim, dim))
-        s = np.zeros(dim)
-        n = 0
+        from pyspark import TaskContext
+        lot = TaskContext.get().partitionId() % LOTS
+        n, mean, m = 0, np.zeros(dim), np.zeros((dim, dim))
         for pdf in it:
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            g += x.T @ x
-            s += x.sum(axis=0)
-            n += len(x)
-        ii, jj = np.meshgrid(np.arange(dim), np.arange(dim), indexing="ij")
-        yield pd.DataFrame({"i": ii.ravel().astype(np.int32), "j": jj.ravel().astype(np.int32),
-                            "g": g.ravel(), "s": s[ii.ravel()], "n": np.full(dim * dim, n)})
-    return run, schema
+            k, mu = len(x), x.mean(axis=0)
+            y, d = x - mu, mu - mean
+            m += y.T @ y + np.outer(d, d) * (n * k / (n + k))
+            mean += d * (k / (n + k))
+            n += k
+        if n:
+            cuts = [(i, slice(lo, min(lo + BLOCK, dim))) for i, lo in enumerate(range(0, dim, BLOCK))]
+            rows = [(i, j, lot, n, mean[a], mean[b], m[a, b].ravel()) for i, a in cuts for j, b in cuts if i <= j]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _MOMENTS.split(", ")])
+    return run
+
+
+def _merge_moments(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The co-moments of one block over several sets of rows, merged pairwise: no difference of large sums."""
+    first = pdf.iloc[0]
+    n, mi, mj, m = 0, np.zeros(len(first["mi"])), np.zeros(len(first["mj"])), np.zeros(len(first["m"]))
+    for k, a, b, c in zip(pdf["n"], pdf["mi"], pdf["mj"], pdf["m"]):
+        di, dj = a - mi, b - mj
+        m = m + c + np.outer(di, dj).ravel() * (n * k / (n + k))
+        mi, mj, n = mi + di * (k / (n + k)), mj + dj * (k / (n + k)), n + k
+    return pd.DataFrame([(first["bi"], first["bj"], first["lot"], n, mi, mj, m)], columns=list(pdf.columns))
 
 
 def covariance(df: DataFrame, vec: str = "embedding", dim: int | None = None) -> DataFrame:
-    """Sample covariance as a long table (i, j, cov), n-1 in the denominator."""
+    """Sample covariance as a long table (i, j, cov), n-1 in the denominator.
+
+    Each task sends one row for each block of ``BLOCK`` x ``BLOCK`` numbers of the upper triangle;
+    blocks are merged in ``LOTS`` groups, then once more, so no task holds the blocks of all others.
+    Rows without a vector, or with another number of dimensions than ``dim`` (the most that a row
+    has), are left out."""
     if dim is None:
-        dim = df.select(F.size(vec)).first()[0]
-    run, schema = _gram(vec, dim)
-    parts = df.select(vec).mapInPandas(run, schema)
-    tot = parts.groupBy("i", "j").agg(F.sum("g").alias("g"), F.sum("s").alias("si"),
-                                      F.sum("n").alias("n"))
-    mean_i = tot.filter("i = j").select(F.col("i").alias("k"), (F.col("si") / F.col("n")).alias("mu"))
-    return (tot.join(F.broadcast(mean_i.withColumnRenamed("k", "i").withColumnRenamed("mu", "mi")), "i")
-            .join(F.broadcast(mean_i.withColumnRenamed("k", "j").withColumnRenamed("mu", "mj")), "j")
-            .select("i", "j", ((F.col("g") - F.col("n") * F.col("mi") * F.col("mj"))
-                               / (F.col("n") - 1)).alias("cov")))
+        dim = df.select(F.max(F.size(vec))).first()[0]
+    dim = max(dim or 0, 0)
+    parts = df.select(vec).where(F.size(vec) == dim).mapInPandas(_moments_task(vec, dim), _MOMENTS)
+    lots = parts.groupBy("bi", "bj", "lot").applyInPandas(_merge_moments, _MOMENTS)
+    blocks = lots.groupBy("bi", "bj").applyInPandas(_merge_moments, _MOMENTS)
+    wide = F.size("mj")
+    cells = blocks.select("bi", "bj", "n", wide.alias("w"), F.posexplode("m").alias("at", "c")).select(
+        (F.col("bi") * BLOCK + F.floor(F.col("at") / F.col("w"))).cast("int").alias("i"),
+        (F.col("bj") * BLOCK + F.col("at") % F.col("w")).cast("int").alias("j"),
+        (F.col("bi") < F.col("bj")).alias("off"), (F.col("c") / (F.col("n") - 1)).alias("cov"))
+    both = F.when(F.col("off"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j")))
+    return cells.select(F.explode(both).alias("p"), "cov").select("p.i", "p.j", "cov")
 
 
 def embedding_health(df: DataFrame, vec: str = "embedding", eps: float = 1e-4,

@@ -19,7 +19,7 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
-_MODULES = ("corpus_q", "text_q", "hier_q", "vector_q", "classify_q", "lexical_q", "stream_q", "io_q", "instruct_q", "extra_q")
+_MODULES = ("corpus_q", "text_q", "hier_q", "vector_q", "classify_q", "lexical_q", "stream_q", "io_q", "instruct_q", "extra_q", "setjoin_q")
 
 
 def register(name: str, sql: str | None = None, ops: tuple[str, ...] = ()):
