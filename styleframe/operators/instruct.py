@@ -237,11 +237,30 @@ def to_messages(df: DataFrame, prompt: str = "prompt", ground_truth: str = "grou
 
 
 def normalise_prompt(col: Column) -> Column:
-    """A prompt stored as JSON text: a list of {role, content} stays; any other
-    value becomes one user turn with that text."""
-    as_list = F.from_json(col, T.ArrayType(MESSAGE))
+    """A prompt stored as JSON text: an array of objects is a list of turns; any other value, malformed
+    text and an empty array included, becomes one user turn with that text (null stays null).
+
+    A turn without a role is the user's.  Content that is a list of parts is their texts, joined by line
+    ends; content of another shape is its JSON text, and none is an empty text."""
+    parsed = F.try_parse_json(col)
+    turns = F.try_variant_get(parsed, "$", "array<variant>")
+
+    def is_object(v: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+    def content(turn: Column) -> Column:
+        whole = F.try_variant_get(turn, "$.content", "variant")
+        parts = F.try_variant_get(whole, "$", "array<variant>")
+        text = lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string"), F.to_json(x))
+        joined = F.array_join(F.transform(parts, text), "\n")
+        known = F.coalesce(joined, F.try_variant_get(whole, "$", "string"), F.to_json(whole))
+        return F.when(F.is_variant_null(whole), F.lit("")).otherwise(F.coalesce(known, F.lit("")))
+
+    message = lambda t: F.struct(
+        F.coalesce(F.try_variant_get(t, "$.role", "string"), F.lit("user")).alias("role"), content(t).alias("content"))
+    listed = F.coalesce((F.size(turns) > 0) & F.forall(turns, is_object), F.lit(False))
     one = F.array(F.struct(F.lit("user").alias("role"), col.alias("content")))
-    return F.coalesce(as_list, one)
+    return F.when(col.isNull(), F.lit(None)).when(listed, F.transform(turns, message)).otherwise(one)
 
 
 def pair_turns(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn",

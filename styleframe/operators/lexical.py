@@ -1,20 +1,25 @@
 """Lexical model: character n-grams inside words, capped vocabulary,
 sublinear TF-IDF with L2 rows, logistic regression.
 
-n-grams are generated from per-document word counts (never per occurrence),
-optionally through a distinct-word dictionary; the vocabulary is a top-N.
+Texts are dealt by document once; word counts, n-gram counts, weights and norms
+are then computed where the document lies.  Only term totals (combined before
+the shuffle) leave the task for the vocabulary, which is a top-N.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from styleframe.functions.text import WS_LITERAL
+from styleframe.session import scratch_path
 
 C = F.col
+#: vocabularies up to this many terms (a parameter of the fit) are broadcast
+BROADCAST_TERMS = 1_000_000
 
 
 def word_counts(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,26 +40,14 @@ def _grams(word: F.Column, lo: int, hi: int) -> F.Column:
         lambda n: F.transform(F.sequence(F.lit(1), L - n + 1), lambda o: F.substring(pw, o, n))))
 
 
-def word_ngrams(words: DataFrame, lo: int = 2, hi: int = 6) -> DataFrame:
-    """(word, term) one row per gram occurrence inside each distinct word
-    (a word's repeated gram appears twice; the later sum counts it)."""
-    return words.select("word").distinct().select("word", F.explode(_grams(C("word"), lo, hi)).alias("term"))
-
-
 def char_ngrams(df: DataFrame, doc: str = "doc_id", text: str = "text",
-                lo: int = 2, hi: int = 6, dictionary: bool = False) -> DataFrame:
+                lo: int = 2, hi: int = 6) -> DataFrame:
     """(doc, term, tf) term frequencies of in-word character n-grams.
 
-    Words are first counted per document, so grams are generated once per
-    (doc, distinct word) row — never per occurrence — and summed by
-    (doc, term) with a map-side partial aggregate.  ``dictionary=True``
-    instead generates grams once per distinct word of the corpus and joins
-    them back (fewer generations when words repeat across documents, one
-    more shuffle join); on the driver tables the flat form measured faster."""
-    wc = word_counts(df, doc, text)
-    if dictionary:
-        ng = word_ngrams(wc, lo, hi)
-        return wc.join(ng, "word").groupBy(doc, "term").agg(F.sum("cnt").alias("tf"))
+    The texts are dealt by ``doc``; words and then n-grams are counted in that partitioning, so neither
+    count shuffles, and the n-grams (many times the text) never leave the task.  Grams are generated
+    once per (doc, distinct word), never per occurrence."""
+    wc = word_counts(df.select(doc, text).repartition(C(doc)), doc, text)
     g = wc.select(doc, "cnt", F.explode(_grams(C("word"), lo, hi)).alias("term"))
     return g.groupBy(doc, "term").agg(F.sum("cnt").alias("tf"))
 
@@ -71,8 +64,9 @@ def fit_tfidf(tf: DataFrame, doc: str = "doc_id", max_features: int = 80000,
     # the window covers <= max_features rows (a parameter bound)
     ranked = top.withColumn("idx", (F.row_number().over(
         Window.orderBy(C("_tot").desc(), C("term"))) - 1).cast("int"))
-    return (ranked.crossJoin(F.broadcast(n_docs))
-            .select("term", "idx", (F.log((1 + C("_n")) / (1 + C("_df"))) + 1).alias("idf")))
+    vocab = (ranked.crossJoin(F.broadcast(n_docs))
+             .select("term", "idx", (F.log((1 + C("_n")) / (1 + C("_df"))) + 1).alias("idf")))
+    return F.broadcast(vocab) if max_features <= BROADCAST_TERMS else vocab
 
 
 def tfidf(tf: DataFrame, vocab: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -84,28 +78,23 @@ def tfidf(tf: DataFrame, vocab: DataFrame, doc: str = "doc_id") -> DataFrame:
     return j.select(doc, "term", "idx", (C("_w") / F.greatest(nrm, F.lit(1e-12))).alias("w"))
 
 
-@F.udf(VectorUDT())
-def _sparse(size, idx, val):
-    order = sorted(range(len(idx)), key=lambda i: idx[i])
-    return SparseVector(size, [idx[i] for i in order], [val[i] for i in order])
-
-
-def to_vectors(weights: DataFrame, size: int, doc: str = "doc_id") -> DataFrame:
-    """(doc, features: SparseVector) — the one per-row Python step, a small
-    constructor; everything before it stays in the JVM."""
-    g = weights.groupBy(doc).agg(F.collect_list("idx").alias("_i"), F.collect_list("w").alias("_v"))
-    return g.select(doc, _sparse(F.lit(size), "_i", "_v").alias("features"))
-
-
 def document_vectors(docs: DataFrame, vocab: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, features) of every document by a given vocabulary: terms outside it are ignored, and a
-    document without any known term has the zero vector."""
-    size = vocab.agg(F.max("idx")).first()[0] + 1
+    document without any known term has the zero vector (of size 0 if the vocabulary is empty).
+
+    The vectors are written to the shared folder as the fields that a sparse vector is stored by, and
+    read back as vectors: no row passes through Python, and an optimiser's many passes read the table."""
+    size = vocab.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
     w = tfidf(char_ngrams(docs, doc, text), vocab, doc)
-    g = w.groupBy(doc).agg(F.collect_list("idx").alias("_i"), F.collect_list("w").alias("_v"))
+    g = w.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("_p"))
     g = docs.select(doc).join(g, doc, "left")
-    return g.select(doc, _sparse(F.lit(size), F.coalesce("_i", F.array().cast("array<int>")),
-                                 F.coalesce("_v", F.array().cast("array<double>"))).alias("features"))
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"),
+                      F.coalesce("_p.idx", F.array().cast("array<int>")).alias("indices"),
+                      F.coalesce("_p.w", F.array().cast("array<double>")).alias("values"))
+    path = scratch_path(docs.sparkSession, "lexical-vectors")
+    g.select(doc, stored.alias("features")).write.parquet(path)
+    schema = T.StructType([T.StructField(doc, g.schema[doc].dataType), T.StructField("features", VectorUDT())])
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def save_lexical(path: str, vocab: DataFrame, models: dict) -> None:

@@ -86,10 +86,9 @@ def lexical_scores(spark, sf):
     and score all documents by what was saved; the probability table is cached as Parquet in the
     shared scratch folder and read back (compute once, reuse)."""
     train = train_docs(spark, sf)
-    vocab = checkpoint(lexical.fit_tfidf(lexical.char_ngrams(train), max_features=MAX_FEATURES, docs=train.select("doc_id")))
+    vocab = F.broadcast(checkpoint(lexical.fit_tfidf(lexical.char_ngrams(train), max_features=MAX_FEATURES, docs=train.select("doc_id"))))  # MAX_FEATURES rows
     lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    # pinned once (reliable checkpoint in the shared folder): the optimiser's many passes read it
-    vec = checkpoint(lexical.document_vectors(table(spark, sf, "documents").select("doc_id", "text"), vocab))
+    vec = lexical.document_vectors(table(spark, sf, "documents").select("doc_id", "text"), vocab)
     data = checkpoint(vec.join(lab, "doc_id"))
     models = {y: lexical.fit_lexical(data.withColumn("label", C(y).cast("double")).filter(C(y).isNotNull()), "label", c=3.0) for y in LABELS}
     path = scratch_path(spark, "lexical-model")

@@ -63,6 +63,24 @@ def _opens(path: str) -> bool:
         return False
 
 
+def opened(x, chunk: int = CHUNK):
+    """Stream of an Arrow value of ``file_values``: a path, or the content of a file."""
+    import io
+
+    import pyarrow as pa
+
+    if pa.types.is_binary(x.type) or pa.types.is_large_binary(x.type):
+        return io.BytesIO(x.as_buffer())
+    fs, path = _file_system(x.as_py())
+    return fs.open_input_stream(path, compression=None, buffer_size=chunk)
+
+
+def file_values(files: DataFrame) -> str:
+    """The column of a binaryFile listing that tasks open: the path, or the content where they cannot open paths."""
+    first = files.select("path").first()
+    return "path" if first is None or _opens(first[0]) else "content"  # without the content it is a listing
+
+
 def _zst_lines(batches, chunk: int):
     """(file, path or content) -> (file, value): the lines of zstd streams of any window size, in batches."""
     import io
@@ -75,16 +93,10 @@ def _zst_lines(batches, chunk: int):
     def out(name, lines):
         return pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string())], names=["file", "value"])
 
-    def opened(x):
-        if pa.types.is_binary(x.type) or pa.types.is_large_binary(x.type):
-            return io.BytesIO(x.as_buffer())
-        fs, path = _file_system(x.as_py())
-        return fs.open_input_stream(path, compression=None, buffer_size=chunk)
-
     for b in batches:
         for name, x in zip(b.column(0).to_pylist(), b.column(1)):
             buf = []
-            with opened(x) as f, dctx.stream_reader(f, read_size=chunk, read_across_frames=True) as r:
+            with opened(x, chunk) as f, dctx.stream_reader(f, read_size=chunk, read_across_frames=True) as r:
                 for line in io.TextIOWrapper(r, encoding="utf-8", errors="replace", newline=""):
                     buf.append(line)
                     if len(buf) >= 8192:
@@ -103,9 +115,7 @@ def zst_lines(spark: SparkSession, path: str) -> DataFrame:
     Only in stores that Python cannot open (viewfs, say) a file comes as one row of at most 2 GB."""
     files = spark.read.format("binaryFile").load(path)
     name = F.col("dump").cast("string") if "dump" in files.columns else F.element_at(F.split("path", "/"), -1)
-    first = files.select("path").first()
-    value = "path" if first is None or _opens(first[0]) else "content"  # without the content it is a listing
-    return files.select(name.alias("file"), value).mapInArrow(functools.partial(_zst_lines, chunk=CHUNK), "file string, value string")
+    return files.select(name.alias("file"), file_values(files)).mapInArrow(functools.partial(_zst_lines, chunk=CHUNK), "file string, value string")
 
 
 def read_dump(spark: SparkSession, path: str, long_window: bool = False,

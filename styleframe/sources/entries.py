@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from styleframe.functions.text import WS
 from styleframe.operators.instruct import MESSAGE, normalise_prompt
+from styleframe.sources.json_arrays import read_elements
 
 C = F.col
 
@@ -24,7 +25,6 @@ COMMENT_LINE = T.StructType([
     T.StructField("user", T.StringType()), T.StructField("comment_id", T.LongType()),
     T.StructField("sentences", T.ArrayType(SENTENCE)),
 ])
-NESTED_FILE = T.ArrayType(T.ArrayType(T.ArrayType(SENTENCE)))
 ENTRY = T.StructType([
     T.StructField("sentence", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType())),
     T.StructField("input_ids", T.ArrayType(T.IntegerType())),
@@ -42,18 +42,17 @@ def read_hierarchy(spark: SparkSession, path: str, nested_files: bool = False) -
 
     Our layout: JSON lines, one comment each, in dialect=/split= folders.
     ``nested_files``: the foreign layout, one JSON array users->comments->
-    sentences per ``<dialect>.json`` file (one task per file)."""
+    sentences per ``<dialect>.json`` file.  A file is read as a stream by one
+    task, which holds one comment at a time (``json_arrays``)."""
     if not nested_files:
         df = spark.read.schema(COMMENT_LINE).json(path)
         extra = [c for c in ("split", "dialect") if c in df.columns]
         out = df.select(*extra, "user", C("comment_id").alias("comment"),
                         F.posexplode("sentences").alias("sent_idx", "_s"))
     else:
-        raw = spark.read.text(path, wholetext=True)
-        d = raw.select(F.regexp_replace(F.col("_metadata.file_name"), "\\.json$", "").alias("dialect"),
-                       F.from_json("value", NESTED_FILE).alias("_u"))
-        u = d.select("dialect", F.posexplode("_u").alias("_ui", "_cs"))
-        cm = u.select("dialect", "_ui", F.posexplode("_cs").alias("comment", "_ss"))
+        cm = read_elements(spark, path, depth=2).select(
+            F.regexp_replace("file", "\\.json$", "").alias("dialect"), C("at")[0].alias("_ui"), C("at")[1].cast("int").alias("comment"),
+            F.from_json("value", T.ArrayType(SENTENCE)).alias("_ss"))
         out = cm.select("dialect", "comment", "_ui", F.posexplode("_ss").alias("sent_idx", "_s")) \
             .withColumn("user", F.coalesce(C("_s.user"), F.concat(F.lit("user_"), C("_ui").cast("string")))) \
             .drop("_ui")
@@ -66,8 +65,7 @@ def read_hierarchy(spark: SparkSession, path: str, nested_files: bool = False) -
 def read_entries(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
     """Flat entries; missing tags -> [] (ids stay null until encoded)."""
     if array_file:
-        raw = spark.read.text(path, wholetext=True)
-        df = raw.select(F.explode(F.from_json("value", T.ArrayType(ENTRY))).alias("_e")).select("_e.*")
+        df = read_elements(spark, path).select(F.from_json("value", ENTRY).alias("_e")).filter("_e is not null").select("_e.*")
     else:
         df = spark.read.schema(ENTRY).json(path)
     return df.withColumn("tags", F.coalesce(C("tags"), F.array().cast("array<string>")))
