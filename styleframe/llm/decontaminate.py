@@ -19,9 +19,10 @@ hash into chunks of about ``CHUNK_BYTES``, each broadcast for a pass of its own,
 so what a task holds is bounded for a benchmark of any size.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased.
+An item of fewer than five words is one shingle of that many words, and documents
+are read in shingles of that size for it, so it is found where it stands intact.
 Edge rows: a null or wordless text has no hits, a null or wordless item none
-either; an item or a document of fewer than five words is one shingle; a document shorter
-than an item is one window; repeated items are reported each by its id; an empty
+either; a document shorter than an item is one window; repeated items are reported each by its id; an empty
 benchmark leaves all documents clean.
 """
 
@@ -55,10 +56,13 @@ def _fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(np.uint64).reshape(-1)
 
 
+def _words_of(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
+    return words(data, np.array([0, len(data)]))[0]
+
+
 def _shingles_of(h: np.ndarray, k: int) -> np.ndarray:
-    """Shingle hashes of one text; fewer words than ``k`` are one shingle."""
-    if 0 < len(h) < k:
-        return shingles(h, np.zeros(len(h), np.int64), len(h))[0]
+    """Shingle hashes of one text of at least ``k`` words."""
     return shingles(h, np.zeros(len(h), np.int64), k)[0]
 
 
@@ -69,17 +73,15 @@ def _near_values(bits: int, radius: int) -> np.ndarray:
 
 
 class Index:
-    """The items of a chunk: shingle table, and for each size the multi-index blocks."""
+    """Items of at least ``k`` words: shingle table, and for each size the multi-index blocks."""
 
     def __init__(self, items: list[tuple[int, bytes]], k: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int = BLOCKS):
         self.k, self.radius, self.blocks = k, radius, blocks
         near = _near_values(64 // blocks, radius // blocks)
         by_size: dict[int, list] = {}
         for item_id, text in items:
-            data = np.frombuffer(text, np.uint8)
-            h = words(data, np.array([0, len(data)]))[0]
-            if len(h):
-                by_size.setdefault(len(h), []).append((item_id, _shingles_of(h, k)))
+            h = _words_of(text)
+            by_size.setdefault(len(h), []).append((item_id, _shingles_of(h, k)))
         self.sizes = []
         pairs = []
         for size, rows in sorted(by_size.items()):
@@ -128,9 +130,9 @@ class Index:
             for sim, item, dist, start in found:
                 if all(abs(start - x) >= span for x in taken.get(item, [])):
                     taken.setdefault(item, []).append(start)
-                    last = min(n_words, start + span - 1 + min(self.k, n_words)) - 1
+                    last = min(n_words, start + span - 1 + self.k) - 1
                     out.append((rows[item][0], start, last, sim, dist))
-        return sorted(out, key=lambda o: (o[1], -o[3], o[0]))
+        return out
 
     def _run(self, sh, starts, span, rows, fps, table, similarity):
         base = int(starts[0])
@@ -162,28 +164,33 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / max(1, len(a) + len(b) - same)
 
 
+def indexes(items: list[tuple[int, bytes]]) -> list[Index]:
+    """An index for each shingle length that the items need: ``SHINGLE_WORDS``, or all words of a shorter item."""
+    by_length: dict[int, list] = {}
+    for item in items:
+        k = min(SHINGLE_WORDS, len(_words_of(item[1])))
+        if k:
+            by_length.setdefault(k, []).append(item)
+    return [Index(rows, k) for k, rows in sorted(by_length.items())]
+
+
 def _scan_texts(col: pa.Array, items, similarity: float, held: dict) -> list[pa.Array]:
-    if not held:
-        held["index"] = Index(items.value)
-    index = held["index"]
+    if "indexes" not in held:
+        held["indexes"] = indexes(items.value)
     data, offsets = column_bytes(col)
     hits: list[list] = []
     for lo, hi in row_ranges(offsets, 1 << 22):
         a = offsets[lo]
-        part, offs = data[a:offsets[hi]], offsets[lo:hi + 1] - a
-        h, row, _, _ = words(part, offs)
-        sh, at = shingles(h, row, index.k)
+        h, row, _, _ = words(data[a:offsets[hi]], offsets[lo:hi + 1] - a)
         edges = np.searchsorted(row, np.arange(hi - lo + 1))
-        first = np.searchsorted(at, edges)
         n = np.diff(edges)
-        some = (n > 0) & (n < index.k)
-        some[row[at[index.anchors(sh)]]] = True
-        for r in range(hi - lo):
-            if not some[r]:
-                hits.append([])
-                continue
-            own = sh[first[r]:first[r + 1]] if n[r] >= index.k else _shingles_of(h[edges[r]:edges[r + 1]], index.k)
-            hits.append(index.hits(own, int(n[r]), similarity))
+        found: list[list] = [[] for _ in range(hi - lo)]
+        for index in held["indexes"]:
+            sh, at = shingles(h, row, index.k)
+            first = np.searchsorted(at, edges)
+            for r in np.unique(row[at[index.anchors(sh)]]):
+                found[r] += index.hits(sh[first[r]:first[r + 1]], int(n[r]), similarity)
+        hits += [sorted(f, key=lambda o: (o[1], -o[3], o[2], o[0] is None, o[0])) for f in found]
     return [pa.array([[dict(zip(HIT_FIELDS, x)) for x in row] for row in hits], HIT_TYPE)]
 
 

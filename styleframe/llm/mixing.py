@@ -12,7 +12,8 @@ rest of the budget on second copies; targets stop at twice the size.
 Edge rows: a null text has size 0 and takes 0 words; a null source is a source
 of its own, last in order; repeated rows share a hash and are taken or left
 together; the document in which the budget ends is taken if that brings the
-source nearer to its target; an empty table gives an empty table.
+source nearer to its target; an empty table gives an empty table; further columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -128,13 +129,12 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
           weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """``docs`` with each row as often as the mix takes it (columns unchanged; wordless rows go)."""
     state, n = plan(checkpoint(_slim(docs, doc_id, text, source)), weights, share, most)
-    names = docs.columns
-    state = state.select(F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies"),
-                         F.col("threshold").alias("_mix_threshold"), F.col("source_size").alias("_mix_size"))
-    rows = docs.join(_small(state, n), docs[source].cast("string").eqNullSafe(state["_mix_source"]))
-    got = F.least(F.col("_mix_copies") + (hash_of(doc_id, text) < F.col("_mix_threshold")).cast("int"), F.lit(most))
-    rows = rows.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), got)))
-    return rows.where("_mix_copy > 0").select(*[docs[c] for c in names])
+    # the row goes along as one struct, so that no name of a column of ours can meet one of its own
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), hash_of(doc_id, text).alias("h"),
+                       F.col(text).rlike(r"[^\x20\x09-\x0D]").alias("worded")).where("worded")
+    got = F.least(F.col("copies") + (F.col("h") < F.col("threshold")).cast("int"), F.lit(most))
+    rows = _same_source(rows, _small(state, n)).select("row", F.explode(F.array_repeat(F.lit(1), got)))
+    return rows.select("row.*")
 
 
 #: The mix of ``documents`` in DuckDB: targets by the same filling, thresholds by a running sum.

@@ -184,7 +184,8 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
 
 
 def sharded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """``docs`` with columns shard and slot added (replaced if they exist)."""
-    out = place(docs, text, shards, order=(doc_id,))
-    return (out.withColumn("shard", F.col("_shard")).withColumn("slot", F.col("_slot"))
-            .drop("_size", "_gh", "_crc", "_shard", "_slot"))
+    """``docs`` with columns shard and slot at the end (in place of columns of these names)."""
+    # the row goes along as one struct, so that no name of a column of ours can meet one of its own
+    slim = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return place(slim, shards=shards).select(*kept, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))

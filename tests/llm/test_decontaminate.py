@@ -72,6 +72,30 @@ def test_matches_equal_brute_force(spark):
     assert len(got) >= 20
 
 
+def test_short_items_inside_long_texts(spark):
+    r = random.Random(8)
+    items = [(1, "Quokka"), (2, "silver quokka"), (3, "a silver quokka"), (4, "one silver quokka sleeps"), (5, "one silver quokka sleeps here")]
+    docs = []
+    for i in range(60):
+        ws = [f"w{r.randrange(50)}" for _ in range(r.randrange(80))]
+        u = items[i % 5][1].split()
+        if i % 4 == 3:
+            u[r.randrange(len(u))] = "edit"
+        at = r.randint(0, len(ws))
+        ws[at:at] = u
+        docs.append((i, " ".join(ws)))
+    docs += [(100, "quokka"), (101, "silver QUOKKA"), (102, "one silver quokka"), (103, None), (104, "")]
+    d, b = run(spark, docs, items)
+    rows = D.hits(d, b).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in rows} == brute(docs, items)
+    size = {j: len(tokens(t)) for j, t in items}
+    text = dict(docs)
+    for x in rows:
+        assert x["similarity"] == 1.0 or size[x["item_id"]] >= 5
+        if size[x["item_id"]] < 5:
+            assert tokens(text[x["doc_id"]])[x["first_word"]:x["last_word"] + 1] == tokens(dict(items)[x["item_id"]])
+
+
 def test_every_pair_within_the_radius_is_a_candidate():
     r = np.random.RandomState(0)
     near = D._near_values(8, D.RADIUS // D.BLOCKS)
