@@ -1,22 +1,28 @@
 """Personal data by patterns and information-theoretic sanitisation (operator 10, DataFrame functions only).
 
 Base spans (email, ip, card, phone) come from patterns; each valid match is a
-protected entity.  A term (a lower-cased word of ``LETTERS`` letters or more)
-that stands within ``CONTEXT`` words of an entity co-occurs with it.  Over the
-whole corpus, with p(e) the share of documents that hold the entity and
+protected entity at three levels of generality: its value, its group (the
+domain of an email, the first two parts of an ip, the first six digits of a
+card, the first four of a phone), and its kind.  Values that stand in one or two
+documents each have no support of their own, but their group or kind may.  A
+term (a lower-cased word of ``LETTERS`` letters or more) that stands within
+``CONTEXT`` words of an entity co-occurs with it at each level.  Over the whole
+corpus, with the same thresholds at each level, with p(e) the share of documents that hold the entity and
 p(e | t) the share of the documents with the term in which it stands beside e,
 the term discloses the entity if
 
     PMI(e; t) = log2(p(e | t) / p(e))  >=  IC(e) / ALPHA,   IC(e) = -log2 p(e)
 
-(full disclosure is PMI = IC), and if it was seen beside e in at least
+(full disclosure is PMI = IC; an entity in every document has no information to
+disclose), and if it was seen beside e in at least
 ``SUPPORT`` different contexts, so that copies of one passage are no evidence.
 Disclosing terms are spans of kind ``term`` wherever they occur: removed if
 they disclose fully, else generalised to the shape of the word.
 
 Scale: three narrow passes over the texts.  The first finds base spans and their
-contexts; co-occurrence rows are a few per entity occurrence, never pairs of a
-document's terms.  The second counts documents of the terms that passed the
+contexts; co-occurrence rows are at most 3 levels x 2 ``CONTEXT`` terms per entity
+occurrence, never pairs of a document's terms, and are combined by (entity, term)
+before each shuffle, so that a kind, which all its occurrences share, is no hot key.  The second counts documents of the terms that passed the
 support test, combined before its shuffle; the third reads only documents that
 hold a disclosing term on past its filter.  Term tables are broadcast up to
 ``BROADCAST_TERMS`` rows, and joined by shuffle beyond it.
@@ -140,12 +146,25 @@ def find_base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return checkpoint(rows.select("id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("nr"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS]))
 
 
+#: the group of a value: what several values of a kind share
+GROUPS = {
+    "email": lambda v: F.substring_index(v, "@", -1),
+    "ip": lambda v: F.substring_index(v, ".", 2),
+    "card": lambda v: F.substring(v, 1, 6),
+    "phone": lambda v: F.substring(v, 1, 4),
+}
+
+
+def levels(kind: str, match: Column) -> Column:
+    """Names of an entity, from the value to the kind: kind:value, kind/group, kind."""
+    value = _digits(match) if kind in ("card", "phone") else F.lower(match)
+    return F.array(F.concat(F.lit(kind + ":"), value), F.concat(F.lit(kind + "/"), GROUPS[kind](value)), F.lit(kind))
+
+
 def co_occurrences(base: DataFrame) -> DataFrame:
-    """(nr, e, t, c): row, entity, term beside it, and a hash of the context."""
+    """(nr, e, t, c): row, entity at each level, term beside it, and a hash of the context."""
     def entities(kind: str) -> Column:
-        same = _digits if kind in ("card", "phone") else F.lower
-        return F.transform(F.col(kind), lambda s: F.struct(
-            F.concat(F.lit(kind + ":"), same(s["v"])).alias("e"), s["l"].alias("l"), s["r"].alias("r")))
+        return F.transform(F.col(kind), lambda s: F.struct(levels(kind, s["v"]).alias("e"), s["l"].alias("l"), s["r"].alias("r")))
 
     tagged = F.concat(*[entities(k) for k in KINDS])
     rows = base.select("nr", F.explode(tagged).alias("x")).select("nr", "x.*")
@@ -155,7 +174,8 @@ def co_occurrences(base: DataFrame) -> DataFrame:
     beside = F.concat(F.slice(F.reverse(left), 1, CONTEXT), F.slice(right, 1, CONTEXT))
     rows = rows.select("nr", "e", beside.alias("ws"))
     terms = F.filter(F.array_distinct("ws"), lambda w: F.length(w) >= LETTERS)
-    return rows.select("nr", "e", F.xxhash64("ws").alias("c"), F.explode(terms).alias("t"))
+    rows = rows.select("nr", "e", F.xxhash64("ws").alias("c"), F.explode(terms).alias("t"))
+    return rows.select("nr", F.explode("e").alias("e"), "t", "c")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -191,7 +211,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, text: str = "text") -> Da
 
 def _discloses(given: Column) -> Column:
     """PMI >= IC / ALPHA, for p(e | t) and the column ic."""
-    return F.log2(given) + F.col("ic") >= F.col("ic") / ALPHA
+    return (F.col("ic") > 0) & (F.log2(given) + F.col("ic") >= F.col("ic") / ALPHA)
 
 
 def term_pattern(terms: Column) -> Column:
@@ -200,19 +220,21 @@ def term_pattern(terms: Column) -> Column:
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, terms, term): the disclosing terms of each text that holds some, and their spans; one row per (id, th)."""
+    """(id, th, terms, full, term): the disclosing terms of each text that holds some, those that disclose
+    fully, and the spans; one row per (id, th)."""
     n = terms.count()
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     words = F.explode(F.array_distinct(words_of(F.col("text")))).alias("t")
+    found = [F.collect_set("t").alias("terms"), F.collect_set(F.when(F.col("full"), F.col("t"))).alias("full")]
     if n <= BROADCAST_TERMS:  # the text goes along: it is only copied for documents that hold a term
         rows = (rows.select("id", "th", "text", words).join(F.broadcast(terms), "t")
-                .groupBy("id", "th").agg(F.collect_set("t").alias("terms"), F.first("text").alias("text")))
+                .groupBy("id", "th").agg(*found, F.first("text").alias("text")))
     else:
-        held = rows.select("id", "th", words).join(terms, "t").groupBy("id", "th").agg(F.collect_set("t").alias("terms"))
+        held = rows.select("id", "th", words).join(terms, "t").groupBy("id", "th").agg(*found)
         held = held.withColumnsRenamed({"id": "_id", "th": "_th"})
         rows = rows.dropDuplicates(["id", "th"]).join(held, rows["id"].eqNullSafe(held["_id"]) & (rows["th"] == held["_th"]))
-    return rows.select("id", "th", "terms", spans_of(F.col("text"), term_pattern(F.col("terms")), contexts=False).alias("term"))
+    return rows.select("id", "th", "terms", "full", spans_of(F.col("text"), term_pattern(F.col("terms")), contexts=False).alias("term"))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,13 +264,10 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     other disclosing terms generalised ([Name] for a capital, else [word])."""
     base = find_base(docs, doc_id, text)
     terms = disclosing_terms(docs, base, text)
-    held = term_spans(docs, terms, doc_id, text).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "terms")
-    full = terms.where("full").agg(F.collect_set("t")).first()[0] if terms.count() <= BROADCAST_TERMS else None
-    if full is None:
-        raise ValueError(f"more than {BROADCAST_TERMS} disclosing terms; join them instead of listing")
+    held = term_spans(docs, terms, doc_id, text).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "terms", "full")
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     rows = rows.join(held, rows["id"].eqNullSafe(held["_id"]) & (rows["th"] == held["_th"]), "left")
-    shape = lambda m: F.when(F.lower(m).isin(full), F.lit("")).when(m.rlike("^[A-Z]"), F.lit("[Name]")).otherwise(F.lit("[word]"))
+    shape = lambda m: F.when(F.array_contains("full", F.lower(m)), F.lit("")).when(m.rlike("^[A-Z]"), F.lit("[Name]")).otherwise(F.lit("[word]"))
     out = F.when(F.col("terms").isNull(), F.col("text")).otherwise(_rebuilt(F.col("text"), term_pattern(F.col("terms")), lambda m: F.lit(True), shape))
     rows = rows.select("id", out.alias("text"))
     for k in KINDS:
