@@ -5,13 +5,13 @@ folders, row loaders."""
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from styleframe.functions import keyed
 from styleframe.functions import vectors as V
 from styleframe.functions.text import WS
-from styleframe.operators import corpus, cues, encode, instruct, vectors
+from styleframe.operators import corpus, cues, encode, instruct, linear, vectors
 from styleframe.plans import sqlx
 from styleframe.plans.corpus_q import sentences
 from styleframe.plans.registry import register
@@ -80,24 +80,32 @@ def linear_probe(spark, sf):
     return p.select("vec_id", "label", C("prediction").cast("int").alias("pred"))
 
 
+def _label_targets(e):
+    """(rows with one-hot targets, number of features, labels): the classes are the labels that occur, in order,
+    and the features those of the most frequent vector size; the labels are few, as each is a target of the model."""
+    labels = [r[0] for r in e.where(C("label").isNotNull()).select("label").distinct().orderBy("label").limit(linear.MODEL_SIZE + 1).collect()]
+    size = e.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    targets = F.array(*[(C("label") == y).cast("double") for y in labels]) if labels else F.array().cast("array<double>")
+    rows = e.select("vec_id", "label", V.as_double("embedding").alias("features"), targets.alias("targets"))
+    return checkpoint(rows), (size[0]["d"] if size else 0), labels
+
+
 @register("feature_probe", ops=("O-105", "O-68"))
 def feature_probe(spark, sf):
-    """One binary probe per feature (feature j = label == j, for every label), logits -> BCE."""
-    d = _emb_vectors(spark, sf)
-    n_features = d.agg(F.max("label")).first()[0] + 1
-    outs = []
-    for j in range(n_features):
-        dj = d.withColumn("y", (C("label") == j).cast("double"))
-        m = LogisticRegression(featuresCol="features", labelCol="y", maxIter=100, regParam=1e-3).fit(dj)
-        outs.append(m.transform(dj).select("vec_id", F.lit(j).alias("feature"), "y",
-                                           vector_to_array("rawPrediction")[1].alias("logit")))
-    u = outs[0]
-    for o in outs[1:]:
-        u = u.unionByName(o)
-    g = u.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("feature", "logit", "y"))).alias("_f"))
-    g = g.select("vec_id", F.transform("_f", lambda x: x["logit"]).alias("logits"),
-                 F.transform("_f", lambda x: x["y"]).alias("targets"))
-    return vectors.bce(g, "logits", "targets")
+    """A binary probe for each feature (the label is y, for every y), all fitted in one run; logits -> BCE."""
+    d, n, labels = _label_targets(table(spark, sf, "embeddings"))
+    m = linear.fit_linear(d, n, len(labels), "ovr", reg=1e-3)
+    return vectors.bce(d.withColumn("logits", linear.logits(m, C("features"))), "logits", "targets")
+
+
+@register("multinomial_probe", ops=("O-103", "O-104", "O-106"))
+def multinomial_probe(spark, sf):
+    """All classes in one softmax model: (vec_id, label, pred, p), p the probability of the predicted class."""
+    d, n, labels = _label_targets(table(spark, sf, "embeddings"))
+    m = linear.fit_linear(d, n, len(labels), "multinomial", reg=1e-3)
+    p = d.withColumn("p", linear.probabilities(m, linear.logits(m, C("features"))))
+    names = F.array(*[F.lit(y) for y in labels]) if labels else F.array().cast("array<int>")
+    return p.select("vec_id", "label", F.get(names, V.argmax(C("p"))).alias("pred"), F.round(F.array_max("p"), 6).alias("p"))
 
 
 # -- O-113 / O-122 --------------------------------------------------------------------------
