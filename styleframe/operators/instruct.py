@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException, PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from styleframe.functions import keyed
 from styleframe.functions.text import ARABIC_RANGES, WS, is_script, strip_wrapping_quotes
 from styleframe.operators import cues
 from styleframe.operators.hierarchy import line_numbers
+from styleframe.session import scratch_path
 
 # --- fixed values: dialect labels -> country codes (dataset vocabularies) ---
 DIALECT_TO_COUNTRY = {
@@ -314,15 +316,18 @@ def union_loaders(frames: Sequence[DataFrame]) -> DataFrame:
 def run_loaders(spark: SparkSession, loaders: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
     """Union of the loaders that work, and a report: loader -> '' or what its failure said.
 
-    A loader fails when its input cannot be resolved (missing path, unreadable header); it is
-    reported and left out, and the others go on."""
+    A loader fails when its input cannot be resolved (missing path, unreadable header) or when a
+    task cannot read it: so each is written to the shared folder before it counts, a failed one is
+    reported and left out whole, and the others go on.  Their rows are read from what was written."""
     frames, report = [], {}
     for name, load in loaders.items():
+        path = scratch_path(spark, "loader")
         try:
-            frames.append(load())
+            load().write.parquet(path)
+            frames.append(spark.read.parquet(path))
             report[name] = ""
-        except (AnalysisException, PySparkException, OSError, ValueError) as e:
-            report[name] = str(e).splitlines()[0][:300]
+        except (PySparkException, Py4JJavaError, OSError, ValueError) as e:
+            report[name] = str(e).strip().partition("\n")[0][:300] or type(e).__name__
     return union_loaders(frames) if frames else spark.createDataFrame([], SAMPLE_SCHEMA), report
 
 

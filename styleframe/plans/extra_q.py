@@ -380,8 +380,9 @@ def tsv_csv_loaders(spark, sf):
     d.select(F.concat(lab, F.lit("\t"), C("t"))).write.mode("overwrite").text(p_tsv)
     d.select(C("lang").alias("Dialect"), C("t").alias("English Text"), C("t").alias("Dialect Translation")) \
         .write.mode("overwrite").option("header", True).option("escape", '"').csv(p_csv)
-    a = corpora.load_sniffed_tsv(spark, p_tsv)
-    b = corpora.load_parallel_csv(spark, p_csv)
+    # the texts hold no line breaks, so large files split
+    a = corpora.load_sniffed_tsv(spark, p_tsv, multi_line=False)
+    b = corpora.load_parallel_csv(spark, p_csv, multi_line=False)
     return a.unionByName(b).groupBy("source", "dialect").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -182,3 +182,35 @@ def loaders_roundtrip(spark, sf):
                                 corpora.load_preferred_text_csv(spark, p3)])
     return u.groupBy("source", "dialect").agg(F.count(F.lit(1)).alias("n"),
                                               F.sum(F.char_length("text")).cast("bigint").alias("n_chars"))
+
+
+# -- O-96: report and skip -----------------------------------------------------------------------
+@register("loaders_report", ops=("O-96", "O-10", "O-11"), sql=f"""
+WITH s AS (
+  SELECT 'habibi' AS loader, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS t FROM documents
+  UNION ALL
+  SELECT 'edc', regexp_replace(l, '^{WS}+|{WS}+$', '', 'g') FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)
+), k AS (SELECT * FROM s WHERE length(t) > 10)
+SELECT l.loader, l.failed, count(k.t) AS n, CAST(coalesce(sum(length(k.t)), 0) AS BIGINT) AS n_chars,
+       CAST(coalesce(sum(('0x' || substr(md5(k.t), 1, 8))::BIGINT), 0) AS BIGINT) AS text_sum
+FROM (VALUES ('habibi', FALSE), ('edc', FALSE), ('missing', TRUE), ('unreadable', TRUE)) l(loader, failed)
+LEFT JOIN k USING (loader) GROUP BY l.loader, l.failed
+""")
+def loaders_report(spark, sf):
+    """Four loaders of the same documents; one has no input and one fails only in its tasks: both are
+    reported, the rows of the others are kept."""
+    d = table(spark, sf, "documents")
+    csv, lines = scratch_path(spark, "report-csv"), scratch_path(spark, "report-lines")
+    d.select(C("text").alias("Lyrics"), C("lang").alias("Country")).write.option("header", True).option("escape", '"').csv(csv)
+    d.select("text").write.text(lines)
+    rows, report = instruct.run_loaders(spark, {
+        "habibi": lambda: corpora.load_alias_csv(spark, csv),
+        "edc": lambda: corpora.load_lines(spark, lines),
+        "missing": lambda: corpora.load_lines(spark, csv + "-missing"),
+        "unreadable": lambda: spark.read.schema(instruct.SAMPLE_SCHEMA).parquet(lines),
+    })
+    told = spark.createDataFrame([(k, v != "") for k, v in report.items()], "loader string, failed boolean")
+    digest = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint")
+    sums = rows.groupBy(C("source").alias("loader")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).cast("bigint").alias("n_chars"), F.sum(digest).alias("text_sum"))
+    return told.join(sums, "loader", "left").select("loader", "failed", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_chars", "text_sum")])

@@ -49,11 +49,12 @@ def _csv(spark, path, sep=",", header=True, multi_line: bool = True):
 def load_alias_csv(spark: SparkSession, path: str, source: str = "habibi",
                    text_aliases: Sequence[str] = ("verse", "lyrics", "text", "sentence"),
                    dialect_aliases: Sequence[str] = ("country", "nationality", "dialect",
-                                                     "songdialect")) -> DataFrame:
+                                                     "songdialect"),
+                   multi_line: bool = True) -> DataFrame:
     """First header (file order) whose lower-cased name is an alias; text > 10
     chars; the country is lower-cased *before* the lookup, an unmapped value
     stays as it is (lower-cased)."""
-    df = _csv(spark, path)
+    df = _csv(spark, path, multi_line=multi_line)
     tk = next((f for f in df.columns if f.lower() in text_aliases), None)
     ck = next((f for f in df.columns if f.lower() in dialect_aliases), None)
     if tk is None:
@@ -166,10 +167,10 @@ def _align_cities(f: DataFrame, source: str) -> DataFrame:
 
 
 def load_parallel_csv(spark: SparkSession, path: str, dialect: str = "sau",
-                      source: str = "saudial") -> DataFrame:
+                      source: str = "saudial", multi_line: bool = True) -> DataFrame:
     """English if > 3 chars, else MSA if > 3, else monolingual; text >= 5 chars;
     the sub-dialect column is kept (lower-cased)."""
-    df = _csv(spark, path)
+    df = _csv(spark, path, multi_line=multi_line)
     cols = df.columns
     en = next((h for h in cols if "english" in h.lower()), None)
     msa = next((h for h in cols if "msa" in h.lower() or "modern standard" in h.lower()), None)
@@ -189,7 +190,7 @@ def load_parallel_csv(spark: SparkSession, path: str, dialect: str = "sau",
 HEADER_NAMES = ("dialect", "text", "label", "sentence", "country", "id")
 
 
-def load_sniffed_tsv(spark: SparkSession, path: str, source: str = "masc") -> DataFrame:
+def load_sniffed_tsv(spark: SparkSession, path: str, source: str = "masc", multi_line: bool = True) -> DataFrame:
     """Per file: header iff the first line holds a known name; with a header:
     text/sentence/lyrics and country/dialect/label columns, exact-then-lower
     lookup, default 'unknown'; without: first field is the label (lower-cased),
@@ -204,13 +205,13 @@ def load_sniffed_tsv(spark: SparkSession, path: str, source: str = "masc") -> Da
         groups.setdefault(r["head"] if known else None, []).append(r["f"])
     if not groups:
         return conform(spark.createDataFrame([], SAMPLE_SCHEMA))
-    parts = [_sniffed_tsv(spark, files, head is not None, source) for head, files in sorted(groups.items(), key=lambda g: g[0] or "")]
+    parts = [_sniffed_tsv(spark, files, head is not None, source, multi_line) for head, files in sorted(groups.items(), key=lambda g: g[0] or "")]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _sniffed_tsv(spark: SparkSession, path, has_header: bool, source: str) -> DataFrame:
+def _sniffed_tsv(spark: SparkSession, path, has_header: bool, source: str, multi_line: bool) -> DataFrame:
     if has_header:
-        df = _csv(spark, path, sep="\t")
+        df = _csv(spark, path, sep="\t", multi_line=multi_line)
         tcols = [k for k in ("Text", "text", "Sentence", "sentence", "Lyrics", "lyrics") if k in df.columns]
         dcols = [k for k in ("Country", "country", "Dialect", "dialect", "Label", "label") if k in df.columns]
         text = F.coalesce(*[F.nullif(C(k), F.lit("")) for k in tcols], F.lit("")) if tcols else F.lit("")
@@ -229,10 +230,10 @@ def _sniffed_tsv(spark: SparkSession, path, has_header: bool, source: str) -> Da
 
 
 def load_preferred_text_csv(spark: SparkSession, path: str, dialect: str = "jor",
-                            source: str = "joda") -> DataFrame:
+                            source: str = "joda", multi_line: bool = True) -> DataFrame:
     """Text column preference: a 'corrected' column, else exactly 'text', else
     any column containing 'text'."""
-    df = _csv(spark, path)
+    df = _csv(spark, path, multi_line=multi_line)
     cols = df.columns
     k = (next((c for c in cols if "corrected" in c.lower()), None)
          or next((c for c in cols if c.lower() == "text"), None)
