@@ -2,14 +2,20 @@
 
 A tree cuts its vectors at the median along the line between two of them, down
 to leaves of about ``LEAF``.  A query walks all trees through one shared priority
-queue: the branch with the smallest margin so far is next, until it has visited
-``SHARE`` of all leaves.  Every vector in a visited leaf is a candidate, and
-candidates are ranked by their exact Euclidean distance in double precision.
+queue: the branch with the smallest margin so far is next, until it has made the
+forest's number of visits.  That number is measured, at every size in the same
+way: ``PROBES`` vectors of the fitted sample are searched among the others, and it
+is the fewest visits in which the share ``RECALL`` of their true neighbours is met.
+So vectors in clusters take a few leaves, and vectors without structure, where no
+cut tells much, more than half of all.  Every vector in a visited leaf is a
+candidate, and candidates are ranked by their exact Euclidean distance in double
+precision.
 
 Scale: equal vectors are one class, so a vector that holds a third of all rows
 fills no leaf; a class keeps its k + 1 smallest ids, which is all that any query
 can return of it.  The trees are fitted on at most ``SAMPLE`` classes (a bound),
-sent to every task, and every class is routed to its leaves.  Vectors and
+sent to every task, and every class is routed to its leaves: beyond ``SAMPLE`` a leaf
+holds more, so the visits meet more neighbours than was measured.  Vectors and
 queries meet by an equi-join on (tree, leaf) in chunks of bounded size, and each
 pair of chunks returns its k + 1 best per query, never all pairs.
 
@@ -34,7 +40,7 @@ from styleframe.session import checkpoint
 
 K = 10
 TREES, LEAF, SAMPLE = 8, 128, 65_536
-SHARE, LEAST_VISITS = 0.12, 160
+RECALL, PROBES = 0.95, 100
 #: vectors and queries of a leaf that meet in one piece of work
 CHUNK, QUERY_CHUNK = 4096, 256
 
@@ -116,6 +122,23 @@ def visited_leaves(forest: list[tuple], q: np.ndarray, visits: int) -> list[tupl
     return out
 
 
+def visits_for(forest: list[tuple], x: np.ndarray, k: int = K, recall: float = RECALL, probes: int = PROBES, seed: int = 13) -> int:
+    """The fewest visits in which ``probes`` of the vectors ``x`` together meet the share ``recall`` of their
+    ``k`` nearest others in ``x``; all leaves for a recall of 1."""
+    total = sum(t[4] for t in forest)
+    if recall >= 1 or len(x) < 2:
+        return total
+    leaves = [leaf_of(t, x) for t in forest]
+    first = []  # the visit that meets a true neighbour
+    for i in np.random.RandomState(seed).permutation(len(x))[:probes]:
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        near = np.argsort(d, kind="stable")[:min(k, len(x) - 1)]
+        at = {place: n for n, place in enumerate(visited_leaves(forest, x[i], total), 1)}
+        first += [min(at[tree, of[j]] for tree, of in enumerate(leaves)) for j in near]
+    return int(np.sort(first)[int(np.ceil(recall * len(first))) - 1])
+
+
 # -- tasks -------------------------------------------------------------------------
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -205,9 +228,10 @@ def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K,
-            trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, share: float = SHARE, least: int = LEAST_VISITS) -> DataFrame:
+            trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest candidates of each row for which
-    ``is_query`` (a function of the id column) holds, among all other ids."""
+    ``is_query`` (a function of the id column) holds, among all other ids; a ``recall`` of 1
+    visits every leaf."""
     spark = vectors.sparkSession
     rows, dim = _usable(vectors, vec_id, embedding)
     rows = checkpoint(rows)
@@ -221,8 +245,7 @@ def nearest(vectors: DataFrame, is_query, vec_id: str = "vec_id", embedding: str
     picked = classes.select("v", "cid").orderBy("cid").limit(sample).toArrow()
     x = _matrix(picked.column("v").combine_chunks(), dim) if picked.num_rows else np.zeros((0, 1))
     forest = build_forest(x, trees, leaf) if len(x) else []
-    total = sum(t[4] for t in forest)
-    visits = max(least, int(np.ceil(share * total)))
+    visits = visits_for(forest, x, k, recall)
     sent = spark.sparkContext.broadcast(forest)
     kind = classes.schema["v"].dataType.simpleString()
     placed = classes.select("cid", "v", "c").mapInArrow(functools.partial(_route_task, forest=sent, dim=dim), f"tree int, leaf int, cid bigint, v {kind}, c bigint")
