@@ -15,7 +15,7 @@ from styleframe.streaming import incremental as inc
 
 def _stream(spark, sf, name):
     schema = table(spark, sf, name).schema
-    return inc.file_stream(spark, sf, schema, glob=f"{name}.parquet")
+    return inc.table_stream(spark, f"{sf.rstrip('/')}/{name}.parquet", schema)
 
 
 def _sentences(df):

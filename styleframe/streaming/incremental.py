@@ -34,6 +34,16 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return r.load(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
+                 max_files: int | None = None) -> DataFrame:
+    """Stream of one table, be it a single file or a folder of part files.
+
+    A file source takes a plain path as the base folder of partitions, so a single file is refused
+    there; a glob that only this name matches has no base folder and lists either."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return file_stream(spark, f"{folder}/[{name[0]}]{name[1:]}", schema, fmt, max_files=max_files)
+
+
 def run_incremental(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], out: str,
                     checkpoint: str, fmt: str = "parquet") -> None:
     """Apply a stateless transform to everything new and append it to ``out``;
