@@ -1,13 +1,20 @@
 """Lexical model: character n-grams inside words, capped vocabulary,
 sublinear TF-IDF with L2 rows, logistic regression.
 
-Texts are dealt by document once; word counts, n-gram counts, weights and norms
-are then computed where the document lies.  Only term totals (combined before
-the shuffle) leave the task for the vocabulary, which is a top-N.
+Corpus totals of n-grams come from corpus totals of words, so each distinct word
+is cut once; the vocabulary is a top-N of them.  Texts are dealt by document once;
+the n-grams that the vocabulary knows are then counted where the document lies,
+one row a document, from a bounded table of the words' n-grams.  Rows of one
+(document, n-gram) are the form for vocabularies too large to be broadcast.
 """
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
@@ -15,18 +22,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from styleframe.functions.text import WS_LITERAL
-from styleframe.session import scratch_path
+from styleframe.session import checkpoint, scratch_path
 
 C = F.col
 #: vocabularies up to this many terms (a parameter of the fit) are broadcast
 BROADCAST_TERMS = 1_000_000
+#: words whose n-grams a task remembers; numbers in one batch of documents
+WORDS, BATCH = 100_000, 1_000_000
+
+
+def _blank(text: str) -> F.Column:
+    """The lower-cased text, all whitespace as blanks."""
+    return F.translate(F.lower(C(text)), WS_LITERAL, " " * len(WS_LITERAL))
 
 
 def word_counts(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, word, cnt) with lower-cased whitespace words (whitespace mapped to
     blanks by a char map, then a plain split)."""
-    t = F.translate(F.lower(C(text)), WS_LITERAL, " " * len(WS_LITERAL))
-    w = F.filter(F.split(t, " ", -1), lambda x: x != F.lit(""))
+    w = F.filter(F.split(_blank(text), " ", -1), lambda x: x != F.lit(""))
     return (df.select(doc, F.explode(w).alias("word"))
             .groupBy(doc, "word").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -40,25 +53,109 @@ def _grams(word: F.Column, lo: int, hi: int) -> F.Column:
         lambda n: F.transform(F.sequence(F.lit(1), L - n + 1), lambda o: F.substring(pw, o, n))))
 
 
+def _gram_task(batches, vocab, lo: int, hi: int):
+    """Texts, equal documents adjacent, -> (doc, idx, tf) of the documents with a known n-gram, ``idx`` ascending."""
+    terms, numbers = vocab.value
+    at, known = dict(zip(terms, numbers.tolist())), {}
+
+    def grams(word):
+        got = known.get(word)
+        if got is None:
+            padded = f" {word} "
+            cut = (padded[o:o + n] for n in range(lo, min(hi, len(padded)) + 1) for o in range(len(padded) - n + 1))
+            got = np.array([at[g] for g in cut if g in at], np.int64)
+            if len(known) >= WORDS:
+                known.clear()
+            known[word] = got
+        return got
+
+    def documents():
+        doc, held = None, None
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1).to_pylist()):
+                if held is not None and i != doc:
+                    yield doc, held
+                    held = None
+                if held is None:
+                    doc, held = i, Counter()
+                held.update(t.split(" "))
+        if held is not None:
+            yield doc, held
+
+    def batch(out):
+        docs, idx, tf = zip(*out)
+        offs = pa.array(np.cumsum([0, *map(len, idx)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offs, pa.array(np.concatenate(x))) for x in (idx, tf)]
+        return pa.RecordBatch.from_arrays([pa.array([d.as_py() for d in docs], docs[0].type), *lists], names=["doc", "idx", "tf"])
+
+    out, size = [], 0
+    for doc, held in documents():
+        held.pop("", None)
+        cut = [grams(w) for w in held]
+        found = np.concatenate(cut) if cut else np.zeros(0, np.int64)
+        if not len(found):
+            continue
+        tf = np.bincount(found, np.repeat(np.fromiter(held.values(), np.float64, len(held)), [len(c) for c in cut]))
+        idx = np.flatnonzero(tf)
+        out.append((doc, idx.astype(np.int32), tf[idx].astype(np.int64)))
+        size += len(idx)
+        if size > BATCH:
+            yield batch(out)
+            out, size = [], 0
+    if out:
+        yield batch(out)
+
+
+def _send(vocab: DataFrame, column: str):
+    """Broadcast (terms, ``column``) of a vocabulary of at most ``BROADCAST_TERMS`` terms, in order of ``idx``."""
+    got = vocab.select("term", "idx", column).toArrow().sort_by("idx")
+    return vocab.sparkSession.sparkContext.broadcast((got.column("term").to_pylist(), got.column(column).to_numpy()))
+
+
+def known_ngrams(df: DataFrame, vocab: DataFrame, doc: str = "doc_id", text: str = "text", lo: int = 2, hi: int = 6) -> DataFrame:
+    """(doc, idx array, tf array): ``char_ngrams`` of the vocabulary's terms, one row a document that has any."""
+    kind = df.schema[doc].dataType.simpleString()
+    t = df.where(C(text).isNotNull()).select(C(doc).alias("doc"), _blank(text).alias("text")).repartition(C("doc")).sortWithinPartitions("doc")
+    task = functools.partial(_gram_task, vocab=_send(vocab.select("term", "idx", C("idx").alias("at")), "at"), lo=lo, hi=hi)
+    return t.mapInArrow(task, f"doc {kind}, idx array<int>, tf array<bigint>").withColumnRenamed("doc", doc)
+
+
 def char_ngrams(df: DataFrame, doc: str = "doc_id", text: str = "text",
-                lo: int = 2, hi: int = 6) -> DataFrame:
-    """(doc, term, tf) term frequencies of in-word character n-grams.
+                lo: int = 2, hi: int = 6, vocab: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf) term frequencies of in-word character n-grams; those of a vocabulary as (doc, idx, tf) arrays.
 
     The texts are dealt by ``doc``; words and then n-grams are counted in that partitioning, so neither
     count shuffles, and the n-grams (many times the text) never leave the task.  Grams are generated
     once per (doc, distinct word), never per occurrence."""
+    if vocab is not None:
+        return known_ngrams(df, vocab, doc, text, lo, hi)
     wc = word_counts(df.select(doc, text).repartition(C(doc)), doc, text)
     g = wc.select(doc, "cnt", F.explode(_grams(C("word"), lo, hi)).alias("term"))
     return g.groupBy(doc, "term").agg(F.sum("cnt").alias("tf"))
 
 
 def fit_tfidf(tf: DataFrame, doc: str = "doc_id", max_features: int = 80000,
-              docs: DataFrame | None = None) -> DataFrame:
+              docs: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Vocabulary (term, idx, idf) from training term frequencies: top
     ``max_features`` by corpus count (ties by term), smooth idf.  The document
-    count comes from ``docs`` when given (documents without any term count)."""
-    src = docs if docs is not None else tf.select(doc).distinct()
+    count comes from ``docs`` when given (documents without any term count).
+
+    ``tf`` may be the documents themselves (with ``text``): the same vocabulary from the totals of
+    distinct words, and document counts of its terms alone."""
+    whole = "term" not in tf.columns
+    src = docs if docs is not None else tf.where(C(text).isNotNull()).select(doc).distinct() if whole else tf.select(doc).distinct()
     n_docs = src.agg(F.count(F.lit(1)).alias("_n"))
+    if whole and max_features <= BROADCAST_TERMS:
+        words = word_counts(tf.select(F.lit(0).alias("_all"), text), "_all", text)
+        totals = words.select("cnt", F.explode(_grams(C("word"), 2, 6)).alias("term")).groupBy("term").agg(F.sum("cnt").alias("_tot"))
+        order = [C("_tot").desc(), C("term")]
+        top = totals.orderBy(*order).limit(max_features)
+        top = checkpoint(top.withColumn("idx", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int")))
+        df = char_ngrams(tf, doc, text, vocab=top).select(F.explode("idx").alias("idx")).groupBy("idx").agg(F.count(F.lit(1)).alias("_df"))
+        return F.broadcast(top.join(df, "idx").crossJoin(F.broadcast(n_docs))
+                           .select("term", "idx", (F.log((1 + C("_n")) / (1 + C("_df"))) + 1).alias("idf")))
+    if whole:
+        tf = char_ngrams(tf, doc, text)
     stats = tf.groupBy("term").agg(F.sum("tf").alias("_tot"), F.count(F.lit(1)).alias("_df"))
     top = stats.orderBy(C("_tot").desc(), C("term")).limit(max_features)
     # the window covers <= max_features rows (a parameter bound)
@@ -69,9 +166,29 @@ def fit_tfidf(tf: DataFrame, doc: str = "doc_id", max_features: int = 80000,
     return F.broadcast(vocab) if max_features <= BROADCAST_TERMS else vocab
 
 
+def _weight_task(batches, vocab):
+    """(doc, idx, tf) -> (doc, idx, w)."""
+    idf = vocab.value[1]
+    for b in batches:
+        offs = b.column(1).offsets.to_numpy()
+        idx, tf = (c.values.to_numpy(zero_copy_only=False)[offs[0]:offs[-1]] for c in (b.column(1), b.column(2)))
+        w = (1 + np.log(tf)) * idf[idx]
+        first = offs[:-1] - offs[0]
+        if len(first):
+            norm = np.maximum(np.sqrt(np.add.reduceat(w * w, first)), 1e-12)
+            w /= np.repeat(norm, np.diff(offs))
+        lists = [pa.ListArray.from_arrays(pa.array((offs - offs[0]).astype(np.int32)), pa.array(x)) for x in (idx.astype(np.int32), w)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc", "idx", "w"])
+
+
 def tfidf(tf: DataFrame, vocab: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, term, idx, w): (1 + ln tf) * idf, L2-normalised per document;
-    terms outside the vocabulary are ignored."""
+    terms outside the vocabulary are ignored.  Of arrays of known terms
+    (doc, idx, tf): (doc, idx, w) arrays, one row a document."""
+    if "term" not in tf.columns:
+        kind = tf.schema[doc].dataType.simpleString()
+        task = functools.partial(_weight_task, vocab=_send(vocab, "idf"))
+        return tf.select(C(doc).alias("doc"), "idx", "tf").mapInArrow(task, f"doc {kind}, idx array<int>, w array<double>").withColumnRenamed("doc", doc)
     j = tf.join(vocab, "term").withColumn("_w", (1 + F.log("tf")) * C("idf"))
     # the norm is a window over one document's terms (bounded by that document)
     nrm = F.sqrt(F.sum(C("_w") * C("_w")).over(Window.partitionBy(doc)))
@@ -85,8 +202,11 @@ def document_vectors(docs: DataFrame, vocab: DataFrame, doc: str = "doc_id", tex
     The vectors are written to the shared folder as the fields that a sparse vector is stored by, and
     read back as vectors: no row passes through Python, and an optimiser's many passes read the table."""
     size = vocab.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
-    w = tfidf(char_ngrams(docs, doc, text), vocab, doc)
-    g = w.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("_p"))
+    if size <= BROADCAST_TERMS:
+        g = tfidf(char_ngrams(docs, doc, text, vocab=vocab), vocab, doc).select(doc, F.struct("idx", "w").alias("_p"))
+    else:
+        w = tfidf(char_ngrams(docs, doc, text), vocab, doc)
+        g = w.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("_p"))
     g = docs.select(doc).join(g, doc, "left")
     stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"),
                       F.coalesce("_p.idx", F.array().cast("array<int>")).alias("indices"),

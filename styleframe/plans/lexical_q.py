@@ -25,9 +25,14 @@ def train_docs(spark, sf):
 
 def tfidf_weights(spark, sf):
     docs = train_docs(spark, sf)
-    tf = lexical.char_ngrams(docs)
-    vocab = lexical.fit_tfidf(tf, max_features=MAX_FEATURES, docs=docs.select("doc_id"))
-    return lexical.tfidf(tf, vocab), vocab
+    vocab = checkpoint(lexical.fit_tfidf(docs, max_features=MAX_FEATURES, docs=docs.select("doc_id")))
+    return lexical.tfidf(lexical.char_ngrams(docs, vocab=vocab), vocab), vocab
+
+
+def summary(w):
+    """Number, sum and greatest of each document's weights."""
+    total = F.aggregate("w", F.lit(0.0), lambda t, x: t + x)
+    return w.select("doc_id", F.size("w").cast("bigint").alias("n_terms"), F.round(total, 6).alias("sum_w"), F.round(F.array_max("w"), 9).alias("max_w"))
 
 
 @register("char_ngram_tfidf", ops=("O-100", "O-101", "O-102"), sql=f"""
@@ -49,9 +54,7 @@ FROM x JOIN nr USING (doc_id) GROUP BY doc_id
 """)
 def char_ngram_tfidf(spark, sf):
     w, _ = tfidf_weights(spark, sf)
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"),
-                                   F.round(F.sum("w"), 6).alias("sum_w"),
-                                   F.round(F.max("w"), 9).alias("max_w"))
+    return summary(w)
 
 
 @register("char_ngram_tfidf_all", ops=("O-100", "O-101", "O-102"), sql=f"""
@@ -72,13 +75,12 @@ FROM x JOIN nr USING (doc_id) GROUP BY doc_id
 def char_ngram_tfidf_all(spark, sf):
     """The vocabulary of the labelled documents, saved and applied to the whole documents table."""
     train = train_docs(spark, sf)
-    vocab = lexical.fit_tfidf(lexical.char_ngrams(train), max_features=MAX_FEATURES, docs=train.select("doc_id"))
+    vocab = lexical.fit_tfidf(train, max_features=MAX_FEATURES, docs=train.select("doc_id"))
     path = scratch_path(spark, "lexical-vocabulary")
     lexical.save_lexical(path, vocab, {})
     vocab, _ = lexical.load_lexical(spark, path, ())
-    w = lexical.tfidf(lexical.char_ngrams(table(spark, sf, "documents").select("doc_id", "text")), vocab)
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("w"), 6).alias("sum_w"),
-                                   F.round(F.max("w"), 9).alias("max_w"))
+    w = lexical.tfidf(lexical.char_ngrams(table(spark, sf, "documents").select("doc_id", "text"), vocab=vocab), vocab)
+    return summary(w)
 
 
 def lexical_scores(spark, sf):
@@ -86,7 +88,7 @@ def lexical_scores(spark, sf):
     and score all documents by what was saved; the probability table is cached as Parquet in the
     shared scratch folder and read back (compute once, reuse)."""
     train = train_docs(spark, sf)
-    vocab = F.broadcast(checkpoint(lexical.fit_tfidf(lexical.char_ngrams(train), max_features=MAX_FEATURES, docs=train.select("doc_id"))))  # MAX_FEATURES rows
+    vocab = F.broadcast(checkpoint(lexical.fit_tfidf(train, max_features=MAX_FEATURES, docs=train.select("doc_id"))))  # MAX_FEATURES rows
     lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     vec = lexical.document_vectors(table(spark, sf, "documents").select("doc_id", "text"), vocab)
     data = checkpoint(vec.join(lab, "doc_id"))
