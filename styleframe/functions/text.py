@@ -15,6 +15,8 @@ WS_CHARS = ("\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{2
             "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}")
 WS = f"[{WS_CHARS}]"
 NOT_WS = f"[^{WS_CHARS}]"
+# Four ranges that hold all of it but the blank: quick to rule out.
+MAYBE_WS = "[\\x00-\\x1F\\x{7F}-\\x{A0}\\x{1680}\\x{2000}-\\x{3000}]"
 # The same whitespace set as literal characters (for translate()).
 WS_LITERAL = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
               + "".join(chr(c) for c in range(0x2000, 0x200B))
@@ -48,8 +50,8 @@ def clean_texts(texts) -> Column:
     input more than once finds a value there, not the stages before it again."""
     t = F.transform(_c(texts), lambda s: F.when(s.contains("http"), F.regexp_replace(s, f"http{NOT_WS}+", "URL")).otherwise(s))
     t = F.transform(t, lambda s: F.when(s.contains("&"), F.regexp_replace(s, f"&{WORD}+;?", "")).otherwise(s))
-    # every whitespace char -> ' ' (a char map, no regex), then collapse and trim
-    t = F.transform(t, lambda s: F.translate(s, WS_LITERAL, " " * len(WS_LITERAL)))
+    # every whitespace char -> ' ' (a char map, for texts that may hold one besides the blank), then collapse and trim
+    t = F.transform(t, lambda s: F.when(s.rlike(MAYBE_WS), F.translate(s, WS_LITERAL, " " * len(WS_LITERAL))).otherwise(s))
     return F.transform(t, lambda s: F.trim(F.when(s.contains("  "), F.regexp_replace(s, " {2,}", " ")).otherwise(s)))
 
 
@@ -82,12 +84,20 @@ def join_words(arr) -> Column:
 
 def flatten_newlines(text) -> Column:
     """CR and LF become a blank (before a language test)."""
-    return F.translate(_c(text), "\r\n", "  ")
+    return F.replace(F.replace(_c(text), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
 
 
 def tsv_safe(text) -> Column:
-    """Tab and LF to a blank, CR removed: safe for one TSV field."""
-    return F.translate(F.translate(_c(text), "\t\n", "  "), "\r", "")
+    """Tab and LF to a blank, CR removed: safe for one TSV field.
+
+    One search for each character; ``translate`` looks every character of the text up in a map."""
+    t = F.replace(F.replace(_c(text), F.lit("\t"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    return F.replace(t, F.lit("\r"), F.lit(""))
+
+
+def strip(text) -> Column:
+    """Python str.strip(): whitespace off both ends, found from the ends (a regex tries every place)."""
+    return F.btrim(_c(text), F.lit(WS_LITERAL))
 
 
 def char_len(text) -> Column:
