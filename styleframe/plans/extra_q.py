@@ -195,11 +195,11 @@ FROM j WHERE length(t) >= 5 GROUP BY ALL
 """)
 def city_files(spark, sf):
     """Documents of four languages as the English, MSA and two cities' folders, aligned by line number."""
-    from styleframe.functions.text import tsv_safe
+    from styleframe.functions.text import strip, tsv_safe
     from styleframe.operators.hierarchy import line_numbers
     names = {"en": "English", "de": "MSA", "fr": "CAI", "es": "AMM"}
     d = table(spark, sf, "documents").filter(C("lang").isin(*names))
-    t = F.regexp_replace(F.translate(tsv_safe(C("text")), "\x0b", " "), f"^{WS}+|{WS}+$", "")
+    t = strip(F.replace(tsv_safe(C("text")), F.lit("\x0b"), F.lit(" ")))
     d = line_numbers(d.select("lang", "doc_id", t.alias("t")).filter(F.char_length("t") > 0), ["lang"], ["doc_id"])
     root = scratch_path(spark, "cities")
     city = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[C("lang")]
