@@ -65,23 +65,30 @@ def with_sentences(df: DataFrame, text: str = "text", min_words: int = 5,
 
 
 def require_sentences(df: DataFrame, n: int = 2, sentences: str = "sentences") -> DataFrame:
-    """HAVING count(sentence) >= n per comment, evaluated on the array (no shuffle)."""
-    return df.filter(F.size(sentences) >= n)
+    """HAVING count(sentence) >= n per comment, evaluated on the array (no shuffle).
+
+    A generator of one array or none: a filter would be pushed below the column and cut and clean each text twice."""
+    kept = F.explode(F.filter(F.array(sentences), lambda s: F.size(s) >= n)).alias(sentences)
+    return df.select(*[kept if c == sentences else F.col(c) for c in df.columns])
 
 
 def require_comments(df: DataFrame, n: int = 2, user: Sequence[str] = ("lang", "source"),
-                     comment: str = "doc_id", one_row_per_comment: bool = True) -> DataFrame:
+                     comment: str = "doc_id", one_row_per_comment: bool = True, store: bool = False) -> DataFrame:
     """Keep users with at least ``n`` comments (HAVING + left-semi join).
 
     On a comment-level frame (one row per comment) the count is a plain
     partial/final hash aggregate, so a hot user costs one partial row per map
     task.  The semi join goes broadcast at runtime when the qualifying-user
-    table is small (AQE), sort-merge with skew split otherwise.
+    table is small (AQE), sort-merge with skew split otherwise.  ``store`` writes
+    the qualifying users first: if they are few, the comments are not shuffled.
     """
     user = _cols(user)
     cnt = F.count(F.lit(1)) if one_row_per_comment else F.count_distinct(comment)
     ok = (df.select(*user, comment).groupBy(*user).agg(cnt.alias("_n"))
           .filter(F.col("_n") >= n).select(*user))
+    if store:
+        from styleframe.session import stored
+        ok = stored(ok, "users")
     return df.join(ok, on=user, how="left_semi")
 
 
@@ -111,7 +118,7 @@ def to_comments(df: DataFrame, text: str = "text", user: Sequence[str] = ("lang"
     if materialize:
         from styleframe.session import checkpoint
         c = checkpoint(c)
-    return require_comments(c, min_comments, user, comment)
+    return require_comments(c, min_comments, user, comment, store=materialize)
 
 
 def to_sentences(df: DataFrame, text: str = "text", user: Sequence[str] = ("lang", "source"),
