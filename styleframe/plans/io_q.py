@@ -11,7 +11,7 @@ from styleframe.operators import corpus, cues, hierarchy, instruct, sampling
 from styleframe.plans import sqlx
 from styleframe.plans.corpus_q import SPLIT_ARGS, comments
 from styleframe.plans.registry import register
-from styleframe.session import scratch_path
+from styleframe.session import scratch_path, stored
 from styleframe.sources import corpora, dumps, entries, sinks
 from styleframe.sources.tables import table
 
@@ -52,7 +52,7 @@ FROM sent JOIN splits USING (lang, source) GROUP BY split, lang
 def hierarchy_roundtrip(spark, sf):
     c = comments(spark, sf)
     sent = corpus.explode_sentences(c)
-    splits = corpus.split_users(c.select("lang", "source").distinct(), **SPLIT_ARGS)
+    splits = stored(corpus.split_users(c.select("lang", "source").distinct(), **SPLIT_ARGS), "splits")
     feat = cues.surface_cues(sent.withColumnRenamed("words", "text"), "sentence")
     rows = feat.join(splits, ["lang", "source"])
     path = scratch_path(spark, "hierarchy")

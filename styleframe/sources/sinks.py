@@ -36,20 +36,25 @@ def write_hierarchy(sent: DataFrame, path: str, split: str | None = "split",
                     dialect: str = "lang", user: str = "source", comment: str = "doc_id",
                     fields=("text", "text_ids", "feature")) -> None:
     """Hierarchy as JSON lines, one per comment (user, comment, sentences[...]),
-    under ``split=<s>/dialect=<d>/`` folders."""
+    under ``split=<s>/dialect=<d>/`` folders.
+
+    A sentence becomes its JSON text before the shuffle: arrays of words and numbers are several times
+    as large as rows that are sorted and spilled."""
     fields = [f for f in fields if f in sent.columns]
     keys = [split] if split else []
     rows = _nest_with(sent, keys, dialect, user, comment, fields)
     rows.withColumnRenamed(dialect, "dialect").write.mode("overwrite") \
-        .partitionBy(*keys, "dialect").json(path)
+        .partitionBy(*keys, "dialect").text(path)
 
 
 def _nest_with(sent, keys, dialect, user, comment, fields):
-    sents = F.array_sort(F.collect_list(F.struct(C("sent_idx").alias("_p"), *[C(f) for f in fields])))
-    strip = F.transform("_s", lambda s: F.struct(*[s[f].alias(f) for f in fields]))
-    return (sent.groupBy(*keys, dialect, user, comment).agg(sents.alias("_s"))
-            .select(*keys, dialect, C(user).alias("user"), C(comment).alias("comment_id"),
-                    strip.alias("sentences")))
+    """(keys..., dialect, value): the JSON line of each comment, its sentences in order."""
+    short = sent.select(*keys, dialect, user, comment, F.struct("sent_idx", F.to_json(F.struct(*fields)).alias("_j")).alias("_s"))
+    sents = F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["_j"]), ",")
+    head = F.to_json(F.struct(C(user).alias("user"), C(comment).alias("comment_id")))
+    open_head = F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.when(F.char_length(head) > 2, ",").otherwise(""))
+    return (short.groupBy(*keys, dialect, user, comment).agg(sents.alias("_l"))
+            .select(*keys, dialect, F.concat(open_head, F.lit('"sentences":['), C("_l"), F.lit("]}")).alias("value")))
 
 
 def write_entries(df: DataFrame, path: str) -> None:
