@@ -102,8 +102,11 @@ def parse_features(response: Column, names: Sequence[str]) -> Column:
 
 
 def pending(df: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows whose key is not yet in ``done`` (skip work already processed)."""
-    return df.join(done.select(*key), on=list(key), how="left_anti")
+    """Rows whose key is not yet in ``done`` (skip work already processed).
+
+    Keys of finished work lie tightly packed in files: by file size they would be broadcast, and each
+    task would hold all of them.  Both sides are dealt out by key instead."""
+    return df.join(done.select(*key).hint("merge"), on=list(key), how="left_anti")
 
 
 def attach(df: DataFrame, feats: DataFrame, key: Sequence[str], feature: str = "feature",
