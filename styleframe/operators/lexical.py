@@ -15,6 +15,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import pyarrow.ipc  # noqa: F401
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from styleframe.functions.text import WS_LITERAL
-from styleframe.session import checkpoint, scratch_path
+from styleframe.session import checkpoint, stored
 
 C = F.col
 #: vocabularies up to this many terms (a parameter of the fit) are broadcast
@@ -379,18 +380,18 @@ def _chain(batches, first, then):
 
 
 def _weight_task(batches, vocab):
-    """(doc, idx, tf) -> (doc, idx, w)."""
+    """(doc, ..., idx, tf) -> (doc, ..., idx, w)."""
     idf = vocab.value[1]
     for b in batches:
-        offs = b.column(1).offsets.to_numpy()
-        idx, tf = (c.values.to_numpy(zero_copy_only=False)[offs[0]:offs[-1]] for c in (b.column(1), b.column(2)))
+        *rest, idx, tf = b.columns
+        offs = idx.offsets.to_numpy()
+        idx, tf = (c.values.to_numpy(zero_copy_only=False)[offs[0]:offs[-1]] for c in (idx, tf))
         w = (1 + np.log(tf)) * idf[idx]
-        first = offs[:-1] - offs[0]
-        if len(first):
-            norm = np.maximum(np.sqrt(np.add.reduceat(w * w, first)), 1e-12)
-            w /= np.repeat(norm, np.diff(offs))
-        lists = [pa.ListArray.from_arrays(pa.array((offs - offs[0]).astype(np.int32)), pa.array(x)) for x in (idx.astype(np.int32), w)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc", "idx", "w"])
+        n = np.diff(offs)
+        if len(w):
+            norm = np.maximum(np.sqrt(np.add.reduceat(w * w, (offs[:-1] - offs[0])[n > 0])), 1e-12)
+            w /= np.repeat(norm, n[n > 0])
+        yield pa.RecordBatch.from_arrays([*rest, *_lists(n, idx.astype(np.int32), w)], names=[*b.schema.names[:-1], "w"])
 
 
 def tfidf(tf: DataFrame, vocab: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -408,26 +409,83 @@ def tfidf(tf: DataFrame, vocab: DataFrame, doc: str = "doc_id") -> DataFrame:
     return j.select(doc, "term", "idx", (C("_w") / F.greatest(nrm, F.lit(1e-12))).alias("w"))
 
 
+def _vectors(df: DataFrame, size: int, doc: str) -> DataFrame:
+    """The columns of ``df`` with (idx, w) as one column of sparse vectors: the fields that a vector is stored by are
+    named a vector, no row passes through Python or a file."""
+    stored_as = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"),
+                         F.coalesce("idx", F.array().cast("array<int>")).alias("indices"), F.coalesce("w", F.array().cast("array<double>")).alias("values"))
+    rest = [c for c in df.columns if c not in ("idx", "w")]
+    out = df.select(*rest, stored_as.alias("features"))
+    schema = T.StructType([f if f.name != "features" else T.StructField("features", VectorUDT()) for f in out.schema])
+    spark = df.sparkSession
+    kind = spark._jvm.org.apache.spark.sql.types.DataType.fromJson(schema.json())
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), kind, False), spark)
+
+
 def document_vectors(docs: DataFrame, vocab: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, features) of every document by a given vocabulary: terms outside it are ignored, and a
     document without any known term has the zero vector (of size 0 if the vocabulary is empty).
 
-    The vectors are written to the shared folder as the fields that a sparse vector is stored by, and
-    read back as vectors: no row passes through Python, and an optimiser's many passes read the table."""
+    The vectors, many times as large as the texts, are made anew where they are used and never written or
+    shuffled; a repeated document has the vector of all its rows' text in each."""
     size = vocab.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
     if size <= BROADCAST_TERMS:
-        g = tfidf(char_ngrams(docs, doc, text, vocab=vocab), vocab, doc).select(doc, F.struct("idx", "w").alias("_p"))
+        kind = docs.schema[doc].dataType.simpleString()
+        texts = _dealt(docs.select(doc, F.when(C(doc).isNotNull(), F.coalesce(C(text), F.lit(""))).otherwise("").alias(text)), doc, text)
+        first = functools.partial(_gram_task, vocab=_numbered(vocab), lo=2, hi=6, every=True)
+        task = functools.partial(_chain, first=first, then=functools.partial(_weight_task, vocab=_send(vocab, "idf")))
+        g = texts.mapInArrow(task, f"doc {kind}, n int, idx array<int>, w array<double>")
+        g = g.withColumn("n", F.explode(F.array_repeat(F.lit(0), C("n")))).drop("n").withColumnRenamed("doc", doc)
     else:
         w = tfidf(char_ngrams(docs, doc, text), vocab, doc)
         g = w.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("_p"))
-    g = docs.select(doc).join(g, doc, "left")
-    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).cast("int").alias("size"),
-                      F.coalesce("_p.idx", F.array().cast("array<int>")).alias("indices"),
-                      F.coalesce("_p.w", F.array().cast("array<double>")).alias("values"))
-    path = scratch_path(docs.sparkSession, "lexical-vectors")
-    g.select(doc, stored.alias("features")).write.parquet(path)
-    schema = T.StructType([T.StructField(doc, g.schema[doc].dataType), T.StructField("features", VectorUDT())])
-    return docs.sparkSession.read.schema(schema).parquet(path)
+        g = docs.select(doc).join(g, doc, "left").select(doc, "_p.idx", "_p.w")
+    return _vectors(g, size, doc)
+
+
+def _pack_task(batches):
+    """Batches of (doc, n, idx, tf) -> one row each, compressed; of ``idx`` the steps from number to number."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for b in batches:
+        idx, tf = b.column(2), b.column(3)
+        lens = np.diff(idx.offsets.to_numpy())
+        flat = np.diff(idx.flatten().to_numpy(), prepend=0).astype(np.int32), tf.flatten().to_numpy()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([(c, t) for c, t in (("doc", b.column(0).type), ("n", pa.int32()), ("idx", pa.list_(pa.int32())), ("tf", pa.list_(pa.int64())))]), options=options) as to:
+            to.write_batch(pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(lens, *flat)], names=["doc", "n", "idx", "tf"]))
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block"])
+
+
+def _unpack_task(batches):
+    for block in (x.as_py() for whole in batches for x in whole.column(0)):
+        for b in pa.ipc.open_stream(block):
+            lens = np.diff(b.column(2).offsets.to_numpy())
+            idx = np.cumsum(b.column(2).flatten().to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(lens, idx, b.column(3).flatten().to_numpy())], names=["doc", "n", "idx", "tf"])
+
+
+def training_ngrams(docs: DataFrame, labels: DataFrame, vocab: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Known n-grams of the documents that have labels, as blocks of about ``BATCH`` whole numbers, compressed: about a
+    byte an n-gram.  They are written once; an optimiser's passes make vectors of weights from them (``training_vectors``)."""
+    marks = [c for c in labels.columns if c != doc]
+    lab = labels.where(C(doc).isNotNull()).groupBy(doc).agg(F.collect_list(F.struct(*marks)).alias("marks"))
+    named = docs.select(doc, F.coalesce(C(text), F.lit("")).alias(text)).join(lab, doc)
+    named = named.select(F.to_json(F.struct(C(doc), "marks"), {"ignoreNullFields": "false"}).alias("doc"), text)
+    first = functools.partial(_gram_task, vocab=_numbered(vocab), lo=2, hi=6, every=True)
+    return stored(_dealt(named, "doc", text).mapInArrow(functools.partial(_chain, first=first, then=_pack_task), "block binary"), "lexical-training")
+
+
+def training_vectors(blocks: DataFrame, docs: DataFrame, labels: DataFrame, vocab: DataFrame, label: str, doc: str = "doc_id") -> DataFrame:
+    """(doc, label, features) of ``training_ngrams`` of ``docs`` and ``labels`` whose ``label`` is known, made where they
+    are used: one row for each row of a document and of its labels."""
+    size = vocab.agg(F.coalesce(F.max("idx") + 1, F.lit(0))).first()[0]
+    marks = T.ArrayType(T.StructType([f for f in labels.schema.fields if f.name != doc]))
+    kind = T.StructType([T.StructField(doc, docs.schema[doc].dataType), T.StructField("marks", marks)])
+    task = functools.partial(_chain, first=_unpack_task, then=functools.partial(_weight_task, vocab=_send(vocab, "idf")))
+    w = blocks.mapInArrow(task, "doc string, n int, idx array<int>, w array<double>").withColumn("_k", F.from_json("doc", kind))
+    each = F.expr(f"flatten(array_repeat(filter(_k.marks, m -> m.`{label}` is not null), n))")
+    w = w.select(C(f"_k.{doc}").alias(doc), F.explode(each).alias("_m"), "idx", "w")
+    return _vectors(w.select(doc, C(f"_m.{label}").cast("double").alias("label"), "idx", "w"), size, doc)
 
 
 def save_lexical(path: str, vocab: DataFrame, models: dict) -> None:
@@ -444,9 +502,9 @@ def load_lexical(spark, path: str, labels) -> tuple[DataFrame, dict]:
 
 
 def fit_lexical(train: DataFrame, label: str = "label", c: float = 3.0,
-                max_iter: int = 2000, features: str = "features"):
-    """Multinomial / binomial logistic regression with C -> regParam 1/(C n)."""
-    n = train.count()
+                max_iter: int = 2000, features: str = "features", n: int | None = None):
+    """Multinomial / binomial logistic regression with C -> regParam 1/(C n); ``n`` rows, counted if not given."""
+    n = train.count() if n is None else n
     lr = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter,
                             regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True)

@@ -90,18 +90,22 @@ def lexical_scores(spark, sf):
     train = train_docs(spark, sf)
     vocab = F.broadcast(checkpoint(lexical.fit_tfidf(train, max_features=MAX_FEATURES, docs=train.select("doc_id"))))  # MAX_FEATURES rows
     lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    vec = lexical.document_vectors(table(spark, sf, "documents").select("doc_id", "text"), vocab)
-    data = checkpoint(vec.join(lab, "doc_id"))
-    models = {y: lexical.fit_lexical(data.withColumn("label", C(y).cast("double")).filter(C(y).isNotNull()), "label", c=3.0) for y in LABELS}
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    blocks = lexical.training_ngrams(docs, lab, vocab)
+    sizes = docs.select("doc_id").join(lab, "doc_id").agg(*[F.count(y).alias(y) for y in LABELS]).first()
+    models = {y: lexical.fit_lexical(lexical.training_vectors(blocks, docs, lab, vocab, y), "label", c=3.0, n=sizes[y]) for y in LABELS}
     path = scratch_path(spark, "lexical-model")
     lexical.save_lexical(path, vocab, models)
     _, models = lexical.load_lexical(spark, path, LABELS)
-    scored = vec.join(lab.withColumnsRenamed({"quality": "label", "toxic": "toxic_label"}), "doc_id", "left")
+    scored = lexical.document_vectors(docs, vocab)
     for y, (pred, p1) in LABELS.items():
         scored = models[y].transform(scored).withColumn(pred, C("prediction").cast("int")) \
             .withColumn(p1, F.round(vector_to_array("probability")[1], 6)).drop("prediction", "probability", "rawPrediction")
+    columns = [c for pair in LABELS.values() for c in pair]
+    scored = scored.drop("features").join(lab.withColumnsRenamed({"quality": "label", "toxic": "toxic_label"}), "doc_id", "left")
+    scored = scored.select("doc_id", "label", "toxic_label", *columns)
     path = scratch_path(spark, "lexical-proba")
-    scored.drop("features").write.mode("overwrite").parquet(path)
+    scored.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
